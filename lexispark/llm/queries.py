@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, langid, packing, perplexity, simhash, token_counts
+from . import fingerprints, html_extract, langid, packing, perplexity, simhash, token_counts, toxicity
 from .util import stored
 
 
@@ -43,11 +43,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_fingerprints, op3_html_text, op4_packing, op5_language, op6_token_counts, op10_near_duplicates)
+    f.__name__: f for f in (op1_quality_rules, op2_fingerprints, op3_html_text, op4_packing, op5_language, op6_token_counts, op9_toxicity, op10_near_duplicates)
 }
 ORACLES: dict[str, str] = {}
