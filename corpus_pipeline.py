@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import packing, perplexity, simhash
+from lexispark.llm import packing, perplexity, simhash, toxicity
 from lexispark.llm.util import shared_dir, stored
 
 
@@ -17,6 +17,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return perplexity.reject(docs, model, perplexity.bands(scores))
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on the labels of these documents, does not find toxic."""
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return simhash.deduplicate(docs)
@@ -27,7 +32,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("near-duplicate removal", near_duplicates), ("best-fit packing", pack)]
+STAGES = [("quality rules", quality), ("toxicity", toxic), ("near-duplicate removal", near_duplicates), ("best-fit packing", pack)]
 
 #: The language model, the network and the search for near copies are beyond SQL: tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
