@@ -102,36 +102,42 @@ def discount(a: Column) -> Column:
     return F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
+def discounts(orders: dict[int, DataFrame]) -> DataFrame:
+    """(lang, n, d1, d2, d3) of every language and order, from its counts of counts."""
+    tallies = [t.where("a <= 4").groupBy("lang").agg(*[F.sum((F.col("a") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).withColumn("n", F.lit(n)) for n, t in orders.items()]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    out = []
+    for i in (1, 2, 3):
+        d = F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))
+        # without enough counts of counts, and where a discount would leave 0..i, the usual constants
+        out.append(F.coalesce(F.when((d > 0) & (d < i), d), F.lit(0.5 * i)).alias(f"d{i}"))
+    return reduce(DataFrame.unionByName, tallies).select("lang", "n", *out)
+
+
 def train(counts: DataFrame) -> str:
     """The model's address. Its rows: lang, kind (order n for log-probabilities, 10 + n for log back-off weights of
-    contexts of n symbols), key, value."""
-    top = stored(counts.select("lang", "key", F.col("c").alias("a")), "ngrams")
-    orders = {ORDER: top}
+    contexts of n symbols), key, value. Each order's tables are stored, so that none is computed twice."""
+    orders = {ORDER: stored(counts.select("lang", "key", F.col("c").alias("a")), "ngrams")}
     for n in range(ORDER - 1, 0, -1):
-        orders[n] = orders[n + 1].groupBy("lang", F.col("key").bitwiseAND((1 << 12 * n) - 1).alias("key")).agg(F.count("*").alias("a"))
-        if n < ORDER - 1:
-            continue
-        orders[n] = stored(orders[n], "ngrams")
+        orders[n] = stored(orders[n + 1].groupBy("lang", F.col("key").bitwiseAND((1 << 12 * n) - 1).alias("key")).agg(F.count("*").alias("a")), "ngrams")
+    known = stored(discounts(orders).coalesce(1), "discounts")
     # p of the empty context: uniform over the language's symbols and one unknown
     lower = orders[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("q")).select("lang", F.lit(0).cast("long").alias("key"), "q")
     out = [lower.select("lang", F.lit(0).alias("kind"), "key", F.log("q").alias("value"))]
     for n in range(1, ORDER + 1):
-        t = orders[n]
-        cc = t.groupBy("lang").agg(*[F.sum((F.col("a") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        d = [i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}") for i in (1, 2, 3)]
-        # without enough counts of counts, and where a discount would leave 0..i, the usual constants
-        d = [F.coalesce(F.when((x > 0) & (x < i), x), F.lit(0.5 * i)).alias(f"d{i}") for i, x in zip((1, 2, 3), [F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), x) for i, x in zip((1, 2, 3), d)])]
-        t = t.join(cc.select("lang", *d), "lang").withColumn("ctx", F.shiftright("key", 12))
-        left = discount(F.col("a"))
-        ctx = t.groupBy("lang", "ctx").agg(F.sum("a").alias("s"), F.sum(left).alias("g")).select("lang", "ctx", "s", (F.col("g") / F.col("s")).alias("g"))
-        out.append(ctx.select("lang", F.lit(10 + n - 1).alias("kind"), F.col("ctx").alias("key"), F.log("g").alias("value")))
-        below = lower.select("lang", F.col("key").alias("suffix"), "q")
-        t = t.join(ctx, ["lang", "ctx"]).withColumn("suffix", F.col("key").bitwiseAND((1 << 12 * (n - 1)) - 1)).join(below, ["lang", "suffix"])
-        lower = t.select("lang", "key", ((F.col("a") - left) / F.col("s") + F.col("g") * F.col("q")).alias("q"))
-        if n in (3, 4):
-            lower = stored(lower, "ngrams")
+        d = known.where(F.col("n") == n).select(F.col("lang").alias("d_lang"), "d1", "d2", "d3")
+        # a row a language, which nothing that is counted can be more than
+        t = orders[n].join(F.broadcast(d), F.col("lang") == F.col("d_lang"), "left").withColumns({name: F.coalesce(name, F.lit(0.5 * i)) for i, name in ((1, "d1"), (2, "d2"), (3, "d3"))})
+        t = t.select("lang", "key", "a", F.shiftright("key", 12).alias("ctx"), discount(F.col("a")).alias("left"))
+        w = Window.partitionBy("lang", "ctx")
+        t = t.withColumns({"s": F.sum("a").over(w), "g": F.sum("left").over(w), "at": F.row_number().over(w.orderBy("key"))})
+        below = lower.select(F.col("lang").alias("b_lang"), F.col("key").alias("b_key"), F.col("q").alias("b_q"))
+        t = t.join(below, (F.col("lang") == F.col("b_lang")) & (F.col("key").bitwiseAND((1 << 12 * (n - 1)) - 1) == F.col("b_key")))
+        g = F.col("g") / F.col("s")
+        t = stored(t.select("lang", "key", ((F.col("a") - F.col("left")) / F.col("s") + g * F.col("b_q")).alias("q"), F.when(F.col("at") == 1, g).alias("g")), "ngrams")
+        lower = t.select("lang", "key", "q")
         out.append(lower.select("lang", F.lit(n).alias("kind"), "key", F.log("q").alias("value")))
+        out.append(t.where("g is not null").select("lang", F.lit(10 + n - 1).alias("kind"), F.shiftright("key", 12).alias("key"), F.log("g").alias("value")))
     path = shared_dir(counts.sparkSession, "model")
     reduce(DataFrame.unionByName, out).repartitionByRange("lang", "kind", "key").sortWithinPartitions("lang", "kind", "key").write.parquet(path)
     return path

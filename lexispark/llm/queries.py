@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, langid, packing, perplexity, simhash, token_counts, toxicity, warc
+from . import fingerprints, html_extract, langid, packing, perplexity, sentence_pieces, simhash, token_counts, toxicity, warc
 from .util import stored
 
 
@@ -47,6 +47,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,6 +61,6 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_fingerprints, op3_html_text, op4_packing, op5_language, op6_token_counts, op7_warc, op9_toxicity, op10_near_duplicates)
+    f.__name__: f for f in (op1_quality_rules, op2_fingerprints, op3_html_text, op4_packing, op5_language, op6_token_counts, op7_warc, op8_sentence_pieces, op9_toxicity, op10_near_duplicates)
 }
 ORACLES: dict[str, str] = {"op7_warc": warc.ROUND_TRIP_SQL}
