@@ -58,19 +58,21 @@ R = r"[\p{L}\p{N}\-_.:#/@]+"
 #: p: postings, d: dictionary, s: statistics; sc and sct: BM25 and TF-IDF of every posting.
 _SCORES = """
 d AS (SELECT field, term, count(*) AS df FROM p GROUP BY field, term),
-j AS (SELECT p.*, d.df, s.n, s.avg_len FROM p JOIN d ON p.field = d.field AND p.term = d.term JOIN s ON p.field = s.field),
-sc AS (SELECT field, term, doc_id, greatest(0, ln(1 + (n - df + 0.5) / (df + 0.5))) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * greatest(len, 1) / avg_len)) AS score FROM j),
-sct AS (SELECT field, term, doc_id, sqrt(tf) * (1 + ln(n / (df + 1))) * (1 + ln(n / (df + 1))) / sqrt(greatest(len, 1)) AS score FROM j)"""
+f AS (SELECT *, count(*) OVER (PARTITION BY field, term) AS df FROM p),
+j AS (SELECT f.*, s.n, s.avg_len FROM f JOIN s ON f.field = s.field),
+sc AS (SELECT field, term, doc_id, greatest(CAST(0 AS DOUBLE), ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0))) * (tf * 2.2e0) / (tf + 1.2e0 * (0.25e0 + 0.75e0 * greatest(CAST(len AS DOUBLE), 1e0) / avg_len)) AS score FROM j),
+sct AS (SELECT field, term, doc_id, sqrt(CAST(tf AS DOUBLE)) * (1e0 + ln(n / (df + 1e0))) * (1e0 + ln(n / (df + 1e0))) / sqrt(greatest(CAST(len AS DOUBLE), 1e0)) AS score FROM j)"""
 
 
 def base(where: str = "TRUE") -> str:
     """The index of documents as common table expressions."""
     return f"""WITH docs AS (SELECT * FROM documents WHERE {where}),
-toks AS (SELECT doc_id, lower(t) AS term, n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{R}')) AS t, len(regexp_extract_all(text, '{R}')) AS n FROM docs)),
-p AS (SELECT 'text' AS field, term, doc_id, count(*) AS tf, max(n) AS len FROM toks GROUP BY term, doc_id
+toks AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{R}'))) AS term FROM docs),
+tfs AS (SELECT term, doc_id, count(*) AS tf FROM toks GROUP BY term, doc_id),
+p AS (SELECT 'text' AS field, term, doc_id, tf, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS len FROM tfs
   UNION ALL SELECT 'lang_key', lang, doc_id, 1, 1 FROM docs UNION ALL SELECT 'source_key', source, doc_id, 1, 1 FROM docs UNION ALL SELECT 'n_chars_key', CAST(n_chars AS VARCHAR), doc_id, 1, 1 FROM docs),
-l AS (SELECT DISTINCT field, doc_id, len FROM p),
-s AS (SELECT field, CAST(sum(len) AS DOUBLE) / (SELECT count(*) FROM docs) AS avg_len, CAST((SELECT count(*) FROM docs) AS DOUBLE) AS n FROM l GROUP BY field),{_SCORES}
+s AS (SELECT 'text' AS field, CAST(sum(len(regexp_extract_all(text, '{R}'))) AS DOUBLE) / count(*) AS avg_len, CAST(count(*) AS DOUBLE) AS n FROM docs
+  UNION ALL SELECT 'lang_key', count(lang) / CAST(count(*) AS DOUBLE), count(*) FROM docs UNION ALL SELECT 'source_key', count(source) / CAST(count(*) AS DOUBLE), count(*) FROM docs UNION ALL SELECT 'n_chars_key', count(n_chars) / CAST(count(*) AS DOUBLE), count(*) FROM docs),{_SCORES}
 """
 
 
@@ -88,11 +90,11 @@ def leaf(q: Query) -> str:
     n, r = len(prefix), len(rest.encode())
     t = f"strlen(substr(term, {n + 1}))"
     if r == 0:
-        sim = f"1 - {t} / {n}.0"
+        sim = f"1 - {t} / {n}e0"
     else:
         m = f"least({r}, {t})"
-        sim = f"CASE WHEN {t} = 0 THEN 1 - {r} / {n}.0 WHEN floor({1 - q.min_similarity} * ({m} + {n})) < abs({r} - {t}) THEN 0 ELSE 1 - levenshtein('{rest}', substr(term, {n + 1})) / CAST({n} + {m} AS DOUBLE) END"
-    best = f"SELECT field || ' ' || term FROM (SELECT field, term, row_number() OVER (PARTITION BY field ORDER BY sim DESC, term) AS nth FROM (SELECT field, term, {sim} AS sim FROM d WHERE {own}starts_with(term, '{prefix}')) AS a WHERE sim > {q.min_similarity}) AS b WHERE nth <= 1024"
+        sim = f"CASE WHEN {t} = 0 THEN 1 - {r} / {n}e0 WHEN floor({1 - q.min_similarity}e0 * ({m} + {n})) < abs({r} - {t}) THEN 0 ELSE 1 - levenshtein('{rest}', substr(term, {n + 1})) / CAST({n} + {m} AS DOUBLE) END"
+    best = f"SELECT field || ' ' || term FROM (SELECT field, term, row_number() OVER (PARTITION BY field ORDER BY sim DESC, term) AS nth FROM (SELECT field, term, {sim} AS sim FROM d WHERE {own}starts_with(term, '{prefix}')) AS a WHERE sim > {q.min_similarity}e0) AS b WHERE nth <= 1024"
     return f"((field || ' ' || term) IN ({best}))"
 
 
@@ -119,16 +121,16 @@ def tree(q: Query, where: str = "TRUE", scores: str = "sc", weights: dict[str, f
         matched += "".join(f" AND NOT {m}" for m, _ in parts[MUST_NOT])
         total = " + ".join([s for _, s in must] + [f"CASE WHEN {m} THEN {s} ELSE 0 END" for m, s in should])
         count = " + ".join([str(len(must))] + [f"CASE WHEN {m} THEN 1 ELSE 0 END" for m, _ in should])
-        return f"({matched})", f"(({total}) * ({count}) / {len(must) + len(should)}.0)"
+        return f"({matched})", f"(({total}) * ({count}) / {len(must) + len(should)}e0)"
 
-    w = "CASE " + " ".join(f"WHEN field = '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1.0 END" if weights else "1.0"
+    w = "CASE " + " ".join(f"WHEN field = '{k}' THEN {v}e0" for k, v in weights.items()) + " ELSE 1e0 END" if weights else "1e0"
     columns = ", ".join(f"sum(CASE WHEN {leaf(x)} THEN score * {w} END) AS s{k}" for k, x in enumerate(leaves))
     matched, score = expr(q)
-    return f"{base(where)}{more}, piv AS (SELECT doc_id, {columns} FROM {scores} GROUP BY doc_id), h AS (SELECT doc_id, {score} AS score FROM piv WHERE {matched}{extra})"
+    return f"{base(where)}{more}, piv AS (SELECT doc_id, {columns} FROM {scores} GROUP BY doc_id), h0 AS (SELECT doc_id, {score} AS score FROM piv WHERE {matched}{extra}), h AS (SELECT doc_id, score, max(score) OVER () AS top FROM h0)"
 
 
 RAW = " SELECT doc_id, round(score, 6) AS score FROM h"
-NORMAL = " SELECT doc_id, round(score / (SELECT max(score) FROM h), 6) AS score FROM h"
+NORMAL = " SELECT doc_id, round(score / top, 6) AS score FROM h"
 
 
 def rounded(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -174,7 +176,7 @@ def quantized_lengths(spark, sf_dir):
 # tables of the index
 
 
-@query(f"SELECT term, doc_id, count(*) AS tf, min(at) AS first_at, CAST(sum(at) AS BIGINT) AS sum_at FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{R}'))) AS term, generate_subscripts(regexp_extract_all(text, '{R}'), 1) AS at FROM documents) GROUP BY term, doc_id")
+@query(f"SELECT term, doc_id, count(*) AS tf, min(nth) AS first_at, CAST(sum(nth) AS BIGINT) AS sum_at FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{R}'))) AS term, generate_subscripts(regexp_extract_all(text, '{R}'), 1) AS nth FROM documents) GROUP BY term, doc_id")
 def inverted_postings(spark, sf_dir):
     p = documents(spark, sf_dir).postings.where("field = 'text'")
     total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -196,9 +198,9 @@ def postings_scan(spark, sf_dir):
     return documents(spark, sf_dir).postings_for("text", "the").select("doc_id", F.col("tf").cast("long").alias("tf"))
 
 
-@query(f"SELECT doc_id, CAST(at AS BIGINT) AS at FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{R}'))) AS term, generate_subscripts(regexp_extract_all(text, '{R}'), 1) AS at FROM documents) WHERE term = 'the'")
+@query(f"SELECT doc_id, CAST(nth AS BIGINT) AS place FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{R}'))) AS term, generate_subscripts(regexp_extract_all(text, '{R}'), 1) AS nth FROM documents) WHERE term = 'the'")
 def positions_scan(spark, sf_dir):
-    return documents(spark, sf_dir).positions_for("text", "the").select("doc_id", F.explode("positions").cast("long").alias("at"))
+    return documents(spark, sf_dir).positions_for("text", "the").select("doc_id", F.explode("positions").alias("place")).withColumn("place", F.col("place").cast("long"))
 
 
 @query(base() + "SELECT term FROM d WHERE field = 'text' AND starts_with(term, 'lic')")
@@ -252,8 +254,8 @@ def _phrase(name: str, terms: tuple[str, ...]) -> None:
         return rounded(evaluate(documents(spark, sf_dir), Phrase("text", terms)))
 
     run.__name__ = name
-    joins = " ".join(f"JOIN pos p{k} ON p{k}.doc_id = p0.doc_id AND p{k}.at = p0.at + {k} AND p{k}.term = '{t}'" for k, t in enumerate(terms) if k)
-    pos = f", pos AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{R}'))) AS term, generate_subscripts(regexp_extract_all(text, '{R}'), 1) AS at FROM documents), m AS (SELECT DISTINCT p0.doc_id FROM pos p0 {joins} WHERE p0.term = '{terms[0]}')"
+    joins = " ".join(f"JOIN pos p{k} ON p{k}.doc_id = p0.doc_id AND p{k}.nth = p0.nth + {k} AND p{k}.term = '{t}'" for k, t in enumerate(terms) if k)
+    pos = f", pos AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{R}'))) AS term, generate_subscripts(regexp_extract_all(text, '{R}'), 1) AS nth FROM documents), m AS (SELECT p0.doc_id FROM pos p0 {joins} WHERE p0.term = '{terms[0]}' GROUP BY p0.doc_id)"
     times = "CASE term " + " ".join(f"WHEN '{t}' THEN {terms.count(t)}" for t in dict.fromkeys(terms)) + " END"
     query(base() + pos + f" SELECT doc_id, round(sum(score * {times}), 6) AS score FROM sc WHERE field = 'text' AND term IN ({', '.join(repr(t) for t in terms)}) AND doc_id IN (SELECT doc_id FROM m) GROUP BY doc_id")(run)
 
@@ -287,7 +289,7 @@ def _search(name: str, p: QueryParams, q: Query, **sql) -> None:
         return rounded(search_params(documents(spark, sf_dir), p))
 
     run.__name__ = name
-    end = NORMAL + (f" WHERE score / (SELECT max(score) FROM h) >= {p.min_score}" if p.min_score else "")
+    end = NORMAL + (f" WHERE score / top >= {p.min_score}" if p.min_score else "")
     query(tree(q, **sql) + end)(run)
 
 
@@ -304,26 +306,29 @@ _search("search_tfidf", QueryParams(text="licensed", similarity=Similarity.TFIDF
 _search("search_min_score", QueryParams(text="licensed", min_score=0.6), _text("licensed"))
 
 
-@query(tree(_THE) + " SELECT doc_id, round(score / (SELECT max(score) FROM h), 6) AS score FROM h ORDER BY h.score DESC, doc_id LIMIT 20")
+@query(tree(_THE) + " SELECT doc_id, round(score / top, 6) AS score FROM h ORDER BY h.score DESC, doc_id LIMIT 20")
 def search_top20(spark, sf_dir):
     return rounded(search(documents(spark, sf_dir), _THE, limit=20))
 
 
-@query(tree(_THE) + " SELECT doc_id AS id, round(h.score / (SELECT max(score) FROM h), 6) AS score, lang AS lang_key, md5(text) AS text FROM h JOIN documents USING (doc_id) ORDER BY h.score DESC, doc_id LIMIT 20")
+@query(tree(_THE) + " SELECT doc_id AS id, round(h.score / top, 6) AS score, lang AS lang_key, md5(text) AS text FROM h JOIN documents USING (doc_id) ORDER BY h.score DESC, doc_id LIMIT 20")
 def search_hydrated(spark, sf_dir):
     index = documents(spark, sf_dir)
     hits = hydrated(index, search(index, _THE, limit=20), 20)
     return hits.select("id", F.round("score", 6).alias("score"), F.col("fields")["lang_key"].alias("lang_key"), F.md5(F.col("fields")["text"]).alias("text"))
 
 
-_PART = f"""WITH p AS (SELECT 'name' AS field, term, doc_id, count(*) AS tf, max(n) AS len FROM (SELECT p_partkey AS doc_id, lower(unnest(regexp_extract_all(p_name, '{R}'))) AS term, len(regexp_extract_all(p_name, '{R}')) AS n FROM part) GROUP BY term, doc_id
-UNION ALL SELECT 'type', term, doc_id, count(*), max(n) FROM (SELECT p_partkey AS doc_id, lower(unnest(regexp_extract_all(p_type, '{R}'))) AS term, len(regexp_extract_all(p_type, '{R}')) AS n FROM part) GROUP BY term, doc_id
-UNION ALL SELECT 'brand_key', p_brand, p_partkey, 1, 1 FROM part), l AS (SELECT DISTINCT field, doc_id, len FROM p),
-s AS (SELECT field, CAST(sum(len) AS DOUBLE) / (SELECT count(*) FROM part) AS avg_len, CAST((SELECT count(*) FROM part) AS DOUBLE) AS n FROM l GROUP BY field),{_SCORES}
+_PART = f"""WITH a AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT p_partkey AS doc_id, lower(unnest(regexp_extract_all(p_name, '{R}'))) AS term FROM part) AS x GROUP BY term, doc_id),
+b AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT p_partkey AS doc_id, lower(unnest(regexp_extract_all(p_type, '{R}'))) AS term FROM part) AS x GROUP BY term, doc_id),
+p AS (SELECT 'name' AS field, term, doc_id, tf, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS len FROM a
+UNION ALL SELECT 'type', term, doc_id, tf, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) FROM b
+UNION ALL SELECT 'brand_key', p_brand, p_partkey, 1, 1 FROM part),
+s AS (SELECT 'name' AS field, CAST(sum(len(regexp_extract_all(p_name, '{R}'))) AS DOUBLE) / count(*) AS avg_len, CAST(count(*) AS DOUBLE) AS n FROM part
+  UNION ALL SELECT 'type', CAST(sum(len(regexp_extract_all(p_type, '{R}'))) AS DOUBLE) / count(*), count(*) FROM part UNION ALL SELECT 'brand_key', 1.0, count(*) FROM part),{_SCORES}
 """
 
 
-@query(_PART + "SELECT doc_id, round(sum(score * CASE field WHEN 'type' THEN 2.0 ELSE 1.0 END), 6) AS score FROM sc WHERE (field <> 'brand_key' AND regexp_full_match(term, 's.*')) GROUP BY doc_id")
+@query(_PART + "SELECT doc_id, round(sum(score * CASE field WHEN 'type' THEN 2e0 ELSE 1e0 END), 6) AS score FROM sc WHERE (field <> 'brand_key' AND regexp_full_match(term, 's.*')) GROUP BY doc_id")
 def part_fields(spark, sf_dir):
     index = build_index(table(spark, sf_dir, "part"), "p_partkey", PART_SPECS)
     return rounded(evaluate(index, Wildcard(None, "s*"), weights={"type": 2.0}))
@@ -347,7 +352,7 @@ def _terms(p: mlt.MltParams) -> str:
     budget = "TRUE" if p.posting_budget == 0 else f"nth = 1 OR cum <= {p.posting_budget if p.posting_budget is not None else 'n'}"
     most = "TRUE" if p.max_doc_freq == 0 else f"df <= {p.max_doc_freq if p.max_doc_freq is not None else 'floor(n / 2)'}"
     top = f"nth <= {p.max_query_terms}" if p.max_query_terms else "TRUE"
-    return f""", rk AS (SELECT field, term, tf, df, n, weight, row_number() OVER (ORDER BY weight DESC, field, term) AS nth FROM (SELECT field, term, tf, df, n, tf * (1 + ln(n / (df + 1))) AS weight FROM j WHERE doc_id = {_SOURCE} AND field = 'text' AND tf >= {p.min_term_freq} AND df >= {p.min_doc_freq} AND {most}) AS a),
+    return f""", rk AS (SELECT field, term, tf, df, n, weight, row_number() OVER (ORDER BY weight DESC, field, term) AS nth FROM (SELECT field, term, tf, df, n, tf * (1e0 + ln(n / (df + 1e0))) AS weight FROM j WHERE doc_id = {_SOURCE} AND field = 'text' AND tf >= {p.min_term_freq} AND df >= {p.min_doc_freq} AND {most}) AS a),
 cu AS (SELECT *, sum(df) OVER (ORDER BY nth) AS cum FROM rk WHERE {top}), te AS (SELECT * FROM cu WHERE {budget})"""
 
 
@@ -361,7 +366,7 @@ def _mlt(name: str, p: mlt.MltParams, where: str = "TRUE", having: str = "TRUE")
         return rounded(mlt.more_like_this(documents(spark, sf_dir), _SOURCE, p))
 
     run.__name__ = name
-    h = f", h AS (SELECT sct.doc_id, sum(score) AS score, count(*) AS c FROM sct JOIN te ON sct.field = te.field AND sct.term = te.term WHERE sct.doc_id <> {_SOURCE} AND {where} GROUP BY sct.doc_id HAVING {having})"
+    h = f", h0 AS (SELECT sct.doc_id, sum(score) AS score, count(*) AS c FROM sct JOIN te ON sct.field = te.field AND sct.term = te.term WHERE sct.doc_id <> {_SOURCE} AND {where} GROUP BY sct.doc_id HAVING {having}), h AS (SELECT doc_id, score, max(score) OVER () AS top FROM h0)"
     query(base() + _terms(p) + h + NORMAL)(run)
 
 
@@ -376,7 +381,7 @@ _mlt("mlt_term_filter", _with(term_filters=[("lang_key", "en"), ("text", "the")]
 _mlt("mlt_range_filter", _with(range_filters=[mlt.Range("n_chars_key", 500, 4000)]), "sct.doc_id IN (SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 4000)")
 
 
-@query(base() + _terms(_MLT) + f", h AS (SELECT sct.doc_id, sum(score) AS score FROM sct JOIN te ON sct.field = te.field AND sct.term = te.term WHERE sct.doc_id <> {_SOURCE} GROUP BY sct.doc_id) SELECT h.doc_id AS id, round(score / (SELECT max(score) FROM h), 6) AS score, lang AS lang_key FROM h JOIN documents ON documents.doc_id = h.doc_id")
+@query(base() + _terms(_MLT) + f", h0 AS (SELECT sct.doc_id, sum(score) AS score FROM sct JOIN te ON sct.field = te.field AND sct.term = te.term WHERE sct.doc_id <> {_SOURCE} GROUP BY sct.doc_id), h AS (SELECT doc_id, score, max(score) OVER () AS top FROM h0) SELECT h.doc_id AS id, round(score / top, 6) AS score, lang AS lang_key FROM h JOIN documents ON documents.doc_id = h.doc_id")
 def mlt_source_fields(spark, sf_dir):
     index = documents(spark, sf_dir)
     hits = hydrated(index, mlt.more_like_this(index, _SOURCE, _MLT), None, ["lang_key"])
@@ -397,7 +402,7 @@ def json_documents(spark, sf_dir):
     return index_documents(parse_documents(as_json(table(spark, sf_dir, "documents"))).select("doc_id", "fields")).dictionary.where("field <> 'n_chars_key'")
 
 
-@query(tree(_text("licensed")) + " SELECT h.doc_id AS id, round(score / (SELECT max(score) FROM h), 6) AS score, lang AS lang_key FROM h JOIN documents ON documents.doc_id = h.doc_id")
+@query(tree(_text("licensed")) + " SELECT h.doc_id AS id, round(score / top, 6) AS score, lang AS lang_key FROM h JOIN documents ON documents.doc_id = h.doc_id")
 def json_search(spark, sf_dir):
     hits = SearchEngine(spark, documents(spark, sf_dir)).search(json.dumps({"text": "licensed", "limit": 0}))
     return hits.select("id", F.round("score", 6).alias("score"), F.col("fields")["lang_key"].alias("lang_key"))
@@ -429,14 +434,14 @@ def deleted(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query(tree(_THE, extra=f" AND doc_id NOT IN (SELECT doc_id FROM documents WHERE {_GONE})") + " SELECT md5(text) AS digest, round(score / (SELECT max(score) FROM h), 6) AS score FROM h JOIN documents ON documents.doc_id = h.doc_id")
+@query(tree(_THE, extra=f" AND doc_id NOT IN (SELECT doc_id FROM documents WHERE {_GONE})") + " SELECT md5(text) AS digest, round(score / top, 6) AS score FROM h JOIN documents ON documents.doc_id = h.doc_id")
 def delete_then_search(spark, sf_dir):
     """Deleted documents are no hits, but count in the statistics."""
     index = Store(deleted(spark, sf_dir)).open(spark)
     return by_text(index, search(index, _THE))
 
 
-@query(tree(_THE, where=f"NOT {_GONE}") + " SELECT md5(text) AS digest, round(score / (SELECT max(score) FROM h), 6) AS score FROM h JOIN documents ON documents.doc_id = h.doc_id")
+@query(tree(_THE, where=f"NOT {_GONE}") + " SELECT md5(text) AS digest, round(score / top, 6) AS score FROM h JOIN documents ON documents.doc_id = h.doc_id")
 def optimize_then_search(spark, sf_dir):
     path = deleted(spark, sf_dir)
     with IndexWriter(spark, path) as w:
@@ -458,7 +463,7 @@ def upsert(spark, sf_dir):
     return Store(path).open(spark).docs.groupBy(F.col("stored")["lang_key"].alias("lang_key")).agg(F.count("*").alias("n"))
 
 
-@query(tree(_LICENSED) + " SELECT md5(text) AS digest, round(score / (SELECT max(score) FROM h), 6) AS score FROM h JOIN documents ON documents.doc_id = h.doc_id")
+@query(tree(_LICENSED) + " SELECT md5(text) AS digest, round(score / top, 6) AS score FROM h JOIN documents ON documents.doc_id = h.doc_id")
 def stream_ingest(spark, sf_dir):
     """All documents through a stream, file by file."""
     root = work_dir(spark)
