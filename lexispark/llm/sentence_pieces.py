@@ -115,7 +115,9 @@ class Backend:
         if spec.kind == BPE:
             model = models.BPE({p: i for i, p in enumerate(names)}, merges(spec), unk_token=unk, fuse_unk=True, byte_fallback=spec.byte_fallback)
         else:
-            model = models.Unigram([(p, s if kind in (NORMAL, USER) else -1e9) for p, s, kind in spec.pieces], spec.unk, spec.byte_fallback)
+            # control pieces get names that no text has, and no score that would count as the least one
+            least = min((s for _, s, kind in spec.pieces if kind in (NORMAL, USER)), default=0.0)
+            model = models.Unigram([(p if kind != CONTROL else f"\ufdd0{i}", s if kind in (NORMAL, USER) else least) for i, (p, s, kind) in enumerate(spec.pieces)], spec.unk, spec.byte_fallback)
         chain_ = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
         if spec.strip_extra:
             chain_ += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
@@ -150,7 +152,8 @@ class Backend:
             text = self.before.normalize_str(text)
         if not text:
             return ""
-        return (MARK if self.spec.dummy_prefix else "") + text.replace(" ", MARK)
+        text = (MARK if self.spec.dummy_prefix else "") + text.replace(" ", MARK)
+        return text.rstrip(MARK) if self.spec.strip_extra else text  # a marker of the text itself counts as a space there
 
     def _learn(self, new: list[str]) -> None:
         for cut, e in zip(new, self.inner.encode_batch_fast(new, add_special_tokens=False)):
@@ -190,7 +193,8 @@ class Backend:
                 hard.append(i)
         for i, text in zip(hard, self.tokenizer.decode_batch([[x for x in rows[i] if x not in self.control] for i in hard], skip_special_tokens=False)):
             out[i] = text
-        return out
+        # where extra white space is removed, a decoded text starts with none
+        return [t.lstrip(" ") if t else t for t in out] if self.spec.strip_extra else out
 
 
 _CUTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
