@@ -19,6 +19,7 @@ toxic. Other columns are not read, or in reject() passed through untouched.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,7 +44,8 @@ Parameters = dict[str, np.ndarray]
 class Words(NamedTuple):
     """The distinct words of some texts, and the windows over all their words."""
 
-    word: np.ndarray  # bucket of each distinct word
+    hash: np.ndarray  # of each distinct word
+    word: np.ndarray  # its bucket
     gram: np.ndarray  # buckets of the character n-grams, a distinct word's together
     n_gram: np.ndarray  # how many each has
     token: np.ndarray  # the distinct word at each place
@@ -53,6 +55,24 @@ class Words(NamedTuple):
 
 
 def read(texts: list[str | None]) -> Words:
+    """Some texts at a time, as words take several times their texts' room while they are looked for."""
+    parts = [(i, read_some(texts[i:j])) for i, j in steps(texts)]
+    if len(parts) == 1:
+        return parts[0][1]
+    if not parts:
+        return read_some([""])
+    hashes = np.concatenate([w.hash for _, w in parts])
+    _, at, same = np.unique(hashes, return_index=True, return_inverse=True)
+    gram, n_gram = np.concatenate([w.gram for _, w in parts]), np.concatenate([w.n_gram for _, w in parts])
+    owns = np.cumsum([0, *(len(w.hash) for _, w in parts)])
+    places = np.cumsum([0, *(len(w.token) for _, w in parts)])
+    token = np.concatenate([same[owns[k] + w.token] for k, (_, w) in enumerate(parts)])
+    gram = gram[ragged((np.cumsum(n_gram) - n_gram)[at], n_gram[at])]
+    rest = [np.concatenate(x) for x in ([w.first + places[k] for k, (_, w) in enumerate(parts)], [w.length for _, w in parts], [w.doc + i for i, w in parts])]
+    return Words(hashes[at], np.concatenate([w.word for _, w in parts])[at], gram, n_gram[at], token, *rest)
+
+
+def read_some(texts: list[str | None]) -> Words:
     cp, a, b, h, doc = words([t or "" for t in texts])
     _, at, token = np.unique(h, return_index=True, return_inverse=True)
     size = b[at] - a[at] + 2
@@ -80,17 +100,19 @@ def read(texts: list[str | None]) -> Words:
     k = ragged(np.zeros(len(texts), np.int64), n_windows)
     last = np.repeat(np.maximum(n_words - WINDOW, 0), n_windows)
     start = np.repeat(np.cumsum(n_words) - n_words, n_windows) + np.minimum(k * STRIDE, last)
-    return Words((h[at] >> np.uint64(64 - BITS)).astype(np.int64), gram[order], np.bincount(owner, minlength=len(size)), token, start, np.repeat(np.minimum(n_words, WINDOW), n_windows), np.repeat(np.arange(len(texts)), n_windows))
+    return Words(h[at], (h[at] >> np.uint64(64 - BITS)).astype(np.int64), gram[order], np.bincount(owner, minlength=len(size)), token, start, np.repeat(np.minimum(n_words, WINDOW), n_windows), np.repeat(np.arange(len(texts)), n_windows))
 
 
 def embedded(w: Words, p: Parameters, some: np.ndarray | None = None) -> np.ndarray:
-    """Input vectors of the distinct words."""
-    if some is None:
-        word, gram, n = w.word, w.gram, w.n_gram
-    else:
-        word, n = w.word[some], w.n_gram[some]
-        gram = w.gram[ragged((np.cumsum(w.n_gram) - w.n_gram)[some], n)]
-    return p["word"][word] + sums(p["char"][gram], n) / np.sqrt(np.maximum(n, 1))[:, None].astype(p["char"].dtype)
+    """Input vectors of the distinct words, some of them at a time."""
+    some = np.arange(len(w.word)) if some is None else some
+    x = p["word"][w.word[some]]
+    starts = np.cumsum(w.n_gram) - w.n_gram
+    for i in range(0, len(some), 1 << 13):
+        own = some[i : i + (1 << 13)]
+        n = w.n_gram[own]
+        x[i : i + len(own)] += sums(p["char"][w.gram[ragged(starts[own], n)]], n) / np.sqrt(np.maximum(n, 1))[:, None].astype(x.dtype)
+    return x
 
 
 def new_parameters(rng: np.random.Generator, dtype=np.float32) -> Parameters:
@@ -289,15 +311,37 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float(cuts[best[int(np.argmax((high - low)[best]))]])
 
 
+def packed(model: Model) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, __threshold=np.array(model.threshold), **model.parameters)
+    return out.getvalue()
+
+
+def unpacked(data: bytes) -> Model:
+    with np.load(io.BytesIO(data)) as f:
+        return Model({k: f[k] for k in f.files if k != "__threshold"}, float(f["__threshold"]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Trained on the driver from at most fit_rows documents of each class; documents are not shuffled."""
+    """Trained in one task from at most fit_rows documents of each class; documents are not shuffled, and the driver gets the weights alone."""
     mine = only(labels, doc_id=id_col, toxic=label_col).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = mine.where("toxic = 1").orderBy(*order).limit(fit_rows).unionByName(mine.where("toxic = 0").orderBy(*order).limit(fit_rows))
     own = only(docs, doc_id=id_col, text=text_col).where("text is not null")
     found = own.join(F.broadcast(picked.withColumnRenamed("doc_id", "label_id")), F.col("doc_id") == F.col("label_id"))
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("text", F.col("toxic").cast("int").alias("toxic")).limit(2 * fit_rows).toArrow()
-    return train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("text", F.col("toxic").cast("int").alias("toxic")).limit(2 * fit_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        model = train(texts, y)
+        if model:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([packed(model)], pa.binary())})
+
+    got = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return unpacked(bytes(got[0][0])) if got else None
 
 
 def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
