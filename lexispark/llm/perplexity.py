@@ -19,7 +19,7 @@ equal results, repeated rows repeated ones. Other columns are not read, or in re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ ORDER, START, END = 5, "\x02", "\x03"
 LOW, HIGH = 7.0, 7.0
 #: The least deviation, and the characters of which a text's own spread equals the language's.
 LEAST, SHORT = 0.01, 5000
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 
 
 def symbols(cp: np.ndarray) -> np.ndarray:
@@ -143,21 +143,39 @@ def train(counts: DataFrame) -> str:
     return path
 
 
-@lru_cache(2)
+_HELD: dict[str, dict] = {}
+
+
 def load(path: str) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and their values by language and kind. Held once in each worker process."""
-    table = ds.dataset(path, format="parquet").to_table()
-    lang, kind, key, value = (table.column(c) for c in ("lang", "kind", "key", "value"))
-    lang = lang.combine_chunks().dictionary_encode() if table.num_rows else None
-    if lang is None:
-        return {}
-    names = lang.dictionary.to_pylist()
-    group = lang.indices.to_numpy().astype(np.int64) * 32 + kind.to_numpy()
-    key, value = key.to_numpy(), value.to_numpy()
-    order = np.lexsort((key, group))
-    group, key, value = group[order], key[order], value[order]
-    edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-    return {(names[group[a] // 32], int(group[a] % 32)): (key[a:b].copy(), value[a:b].copy()) for a, b in zip(edges[:-1], edges[1:])}
+    """Sorted keys and their values by language and kind. A worker process holds the last model that it was asked for."""
+    if path not in _HELD:
+        _HELD.clear()
+        _HELD[path] = read_model(path)
+        pa.default_memory_pool().release_unused()
+    return _HELD[path]
+
+
+def read_model(path: str) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Batch by batch; what the files hold in order is not sorted again."""
+    parts: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in ds.dataset(path, format="parquet").to_batches(columns=["lang", "kind", "key", "value"]):
+        if not batch.num_rows:
+            continue
+        lang = batch.column(0).dictionary_encode()
+        names, group = lang.dictionary.to_pylist(), lang.indices.to_numpy().astype(np.int64) * 32 + batch.column(1).to_numpy()
+        key, value = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:]):
+            parts.setdefault((names[group[a] // 32], int(group[a] % 32)), []).append((key[a:b].copy(), value[a:b].copy()))
+    out = {}
+    for name in list(parts):
+        own = parts.pop(name)
+        key, value = (np.concatenate(x) for x in zip(*own))
+        if (key[1:] < key[:-1]).any():
+            order = np.argsort(key, kind="stable")
+            key, value = key[order], value[order]
+        out[name] = key, value
+    return out
 
 
 def found(table: tuple[np.ndarray, np.ndarray] | None, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one numpy step works on, unless a single text is longer.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 19
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
