@@ -262,3 +262,23 @@ def test_groups_of_copies(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i % 10] + (" more" if i > 20 else "")) for i in range(30)]
     got = {r.doc_id: r.root for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i % 100 % 10 for i in [*range(10), *range(100, 130)]}
+
+
+def test_search_reaches_the_radius(spark):
+    """Pairs at each distance up to RADIUS are found, and none beyond it."""
+    rng = np.random.default_rng(6)
+    far = (20, 24, 26, 28, 29)
+    n = 200
+    bits = rng.integers(0, 2, (len(far) * n, 2, simhash.BITS), dtype=np.uint8)
+    for k in range(len(bits)):
+        bits[k, 1] = bits[k, 0]
+        bits[k, 1, rng.permutation(simhash.BITS)[: far[k // n]]] ^= 1
+    sig = np.packbits(bits.reshape(-1, simhash.BITS), axis=1).view(np.int64)
+    nodes = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(sig)], "node long, hi long, lo long")
+    flat = bits.reshape(-1, simhash.BITS).astype(np.float32) * 2 - 1
+    near = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu((simhash.BITS - flat @ flat.T) / 2 <= simhash.RADIUS, 1)))}
+    found = {(r.a, r.b) for r in simhash.edges(nodes).collect()}
+    assert found <= near
+    for k, d in enumerate(far):
+        met = sum((2 * i, 2 * i + 1) in found for i in range(k * n, k * n + n))
+        assert met >= 0.9 * n if d <= simhash.RADIUS else met == 0
