@@ -5,7 +5,7 @@ holds, as 70 hexadecimal digits: a checksum, a logarithmic length code, two quar
 each bucket the quartile (2 bits) that its count falls in.
 
 Nulls and texts of under MIN_BYTES bytes, or whose third quartile is 0 (too little variety), have a null
-digest, and then null twin, item and score. Rows are independent: equal texts have equal digests, repeated
+digest, and then null twin, near, item and scores. Rows are independent: equal texts have equal digests, repeated
 rows give repeated results, a null doc_id is carried along. Other columns of the input are not read.
 """
 
@@ -22,6 +22,9 @@ from .util import only, steps, stored, sums
 
 BUCKETS, MIN_BYTES, BOUND = 128, 50, 500
 SIZE = 3 + BUCKETS // 4
+#: Difference up to which digests of documents count as near; of near copies by SimHash in sf0.1 some 90 % lie within it.
+#: Their search has TABLES tables, each keyed by BAND of the 3 * BUCKETS bits of a digest's quartiles in unary.
+NEAR, BAND, TABLES, SEED = 30, 36, 50, 20240301
 #: Reference digests that are sent to the executors at once.
 MOST_REFERENCES = 1 << 16
 
@@ -72,13 +75,13 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def differences(a: np.ndarray, b: np.ndarray, bound: int = BOUND) -> np.ndarray:
-    """Score of each digest of a (n, SIZE) against the one digest b: 0 for equal ones, at most `bound`."""
-    x, y = a.astype(np.int32), b.astype(np.int32)
-    length = np.abs(x[:, 1] - y[1])
-    ratio = np.abs(np.stack([x[:, 2] >> 4, x[:, 2] & 15]) - np.array([[y[2] >> 4], [y[2] & 15]]))
-    head = (x[:, 0] != y[0]).astype(np.int32) + np.where(length > 1, 4 * (length - 1), length)
+    """Score of each digest of a (n, SIZE) against the one digest b, or each against its own of b (n, SIZE): 0 for equal ones, at most `bound`."""
+    x, y = a.astype(np.int32), np.atleast_2d(b).astype(np.int32)
+    length = np.abs(x[:, 1] - y[:, 1])
+    ratio = np.abs(np.stack([x[:, 2] >> 4, x[:, 2] & 15]) - np.stack([y[:, 2] >> 4, y[:, 2] & 15]))
+    head = (x[:, 0] != y[:, 0]).astype(np.int32) + np.where(length > 1, 4 * (length - 1), length)
     head += np.where(ratio > 1, 12 * (ratio - 1), ratio).sum(0)
-    return np.minimum(head + _BODY[a[:, 3:], b[3:]].sum(1, dtype=np.int32), bound)
+    return np.minimum(head + _BODY[a[:, 3:], np.atleast_2d(b)[:, 3:]].sum(1, dtype=np.int32), bound)
 
 
 def difference(a: str, b: str, bound: int = BOUND) -> int:
@@ -149,3 +152,79 @@ def twins(prints: DataFrame) -> DataFrame:
     """prints with twin: the smallest doc_id among the rows of equal digest."""
     least = prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("twin"))
     return prints.join(least, "digest", "left").select(*prints.columns, "twin")
+
+
+def unary(d: np.ndarray) -> np.ndarray:
+    """(n, 3 * BUCKETS) bits: quartile k of a bucket as k ones. Digests differ in no more bits than their difference."""
+    codes = (d[:, 3:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(d), -1)
+    return np.concatenate([codes > k for k in range(3)], axis=1).astype(np.uint8)
+
+
+def samples(tables: int = TABLES, band: int = BAND) -> np.ndarray:
+    """The unary bits that each table's key is made of, disjoint within a permutation."""
+    rng, each = np.random.default_rng(SEED), 3 * BUCKETS // band
+    return np.concatenate([rng.permutation(3 * BUCKETS)[: each * band].reshape(each, band) for _ in range(-(-tables // each))])[:tables]
+
+
+def nearest_in_runs(d: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each digest the least difference to the others of its run start[i] .. start[i] + size[i], and the first row that has it.
+
+    All pairs of a run are compared; a difference of more than radius may be missed. Memory follows the rows, not the pairs."""
+    bits = np.concatenate([np.packbits(unary(d[i : i + 16384]), axis=1).view(np.uint64) for i in range(0, len(d), 16384)])
+    best = np.full(len(d), 1 << 60, np.int64)  # score and row in one number
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    for k in range(1, int(size[0])):
+        # longest runs first: at offset k only those of over k rows are left, a prefix
+        n = size[: np.searchsorted(-size, -k, "left")] - k
+        total = np.cumsum(n)
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 16), "right")))
+            m = n[at:to]
+            i = np.repeat(start[at:to] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+            i = i[np.bitwise_count(bits[i] ^ bits[i + k]).sum(1, dtype=np.int32) <= radius]
+            score = differences(d[i], d[i + k]).astype(np.int64) << 40
+            best[i] = np.minimum(best[i], score | i + k)
+            best[i + k] = np.minimum(best[i + k], score | i)
+            at = to
+    return best >> 40, best & (1 << 40) - 1
+
+
+def near_copies(prints: DataFrame, radius: int = NEAR, tables: int = TABLES, band: int = BAND) -> DataFrame:
+    """prints with near, the doc_id of least difference, at most radius, among the rows of another digest, ties to the smallest doc_id, and near_score.
+
+    Candidates are the digests that agree in a table's key; all of them are compared. A pair at a difference of NEAR is met with
+    over 0.9, a nearer one with more. A digest that only rows without doc_id have is not searched: near is null."""
+    nodes = prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node is not null")
+    pick = samples(tables, band)
+
+    def fan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(band, dtype=np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                bits = unary(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, SIZE))
+                key = np.concatenate([(bits[:, p] @ weights) * tables + t for t, p in enumerate(pick)])
+                again = pa.array(np.tile(np.arange(len(bits)), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[c.take(again) for c in part.columns]], ["key", "code", "node"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        key, node = whole.column("key").to_numpy(), whole.column("node").to_numpy()
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        d = np.frombuffer(b"".join(whole.column("code").to_pylist()), np.uint8).reshape(-1, SIZE)[order]
+        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
+        score, other = nearest_in_runs(d, edge[:-1], np.diff(edge), radius)
+        own = np.flatnonzero(score <= radius)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in d[own]], pa.binary()), pa.array(node[other[own]]), pa.array(score[own], pa.int32())], ["code", "near", "near_score"])
+
+    kind = prints.schema["doc_id"].dataType.simpleString()
+    fanned = nodes.select(F.unhex("digest").alias("code"), "node").mapInArrow(fan, f"key long, code binary, node {kind}")
+    found = fanned.repartition("key").mapInArrow(compare, f"code binary, near {kind}, near_score int")
+    best = found.groupBy("code").agg(F.min(F.struct("near_score", "near")).alias("best")).select(F.lower(F.hex("code")).alias("digest"), "best.near", "best.near_score")
+    return prints.join(best, "digest", "left").select(*prints.columns, "near", "near_score")

@@ -23,7 +23,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = stored(fingerprints.fingerprint(table(spark, sf_dir, "documents")), "prints")
     items = fingerprints.fingerprint(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("doc_id", "item_id")
-    return fingerprints.nearest(fingerprints.twins(prints), items)
+    return fingerprints.nearest(fingerprints.near_copies(fingerprints.twins(prints)), items)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,3 +282,39 @@ def test_search_reaches_the_radius(spark):
     for k, d in enumerate(far):
         met = sum((2 * i, 2 * i + 1) in found for i in range(k * n, k * n + n))
         assert met >= 0.9 * n if d <= simhash.RADIUS else met == 0
+
+
+def test_near_documents_by_digest(spark):
+    """Every row gets the nearest other digest within NEAR, as all pairs have it; the search meets 0.9 of the pairs at NEAR itself."""
+    rng = np.random.default_rng(7)
+    far, n = (10, 20, 25, 30, 31), 150
+    codes = rng.integers(0, 4, (len(far) * n, 2, fingerprints.BUCKETS))
+    for k in range(len(codes)):
+        at = rng.permutation(fingerprints.BUCKETS)[: far[k // n]]
+        codes[k, 1] = codes[k, 0]
+        codes[k, 1, at] += np.where(codes[k, 0, at] > 1, -1, 1)
+    body = (codes.reshape(-1, fingerprints.BUCKETS // 4, 4) << np.array([0, 2, 4, 6])).sum(2).astype(np.uint8)
+    d = np.concatenate([np.full((len(body), 3), 7, np.uint8), body], axis=1)
+    rows = [(i, bytes(x).hex(), 100) for i, x in enumerate(d)] + [(5000, bytes(d[0]).hex(), 100), (None, bytes(d[2]).hex(), 100), (5001, None, 3)]
+    got = {r.doc_id: (r.near, r.near_score) for r in fingerprints.near_copies(spark.createDataFrame(rows, "doc_id long, digest string, n_bytes long")).collect()}
+    assert len(got) == len(rows) and got[5000] == got[0] and got[None] == got[2] and got[5001] == (None, None)
+    for i in range(len(d)):
+        all_pairs = fingerprints.differences(d, d[i])
+        all_pairs[i] = fingerprints.BOUND
+        best = int(all_pairs.argmin())
+        want = (best, int(all_pairs[best])) if all_pairs[best] <= fingerprints.NEAR else (None, None)
+        assert got[i] in (want, (None, None))
+    for k, x in enumerate(far):
+        met = sum(got[2 * i][0] == 2 * i + 1 for i in range(k * n, k * n + n))
+        assert met >= 0.9 * n if x <= fingerprints.NEAR else met == 0
+
+
+def test_near_copy_in_the_result(spark, tmp_path):
+    from lexispark.llm import queries
+
+    rng = np.random.default_rng(0)
+    a = "".join(rng.choice(list("abcdefgh "), 3000))
+    spark.createDataFrame([(1, a), (2, a[:1500] + "changed" + a[1500:]), (3, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x" * 9)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r.near for r in queries.op2_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {1: 2, 2: 1, 3: None}
