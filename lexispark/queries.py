@@ -156,6 +156,12 @@ def byte_distance(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", analysis.levenshtein_bytes(F.substring("text", 1, 40), F.lit("Ça été où añb the")).cast("long").alias("distance"))
 
 
+@query("SELECT doc_id, CAST(levenshtein(text, 'Ça été où añb the') AS BIGINT) AS distance FROM documents")
+def byte_distance_whole(spark, sf_dir):
+    """byte_distance over whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", analysis.levenshtein_bytes("text", F.lit("Ça été où añb the")).cast("long").alias("distance"))
+
+
 @query("SELECT o_orderkey, lower(to_base(o_orderkey, 36)) AS name FROM orders")
 def base36_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", analysis.base36(F.col("o_orderkey").cast("string")).alias("name"))
