@@ -459,8 +459,18 @@ def optimize_then_search(spark, sf_dir):
 @query("SELECT lang AS lang_key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'new', count(*) FROM part WHERE p_partkey <= 50")
 def upsert(spark, sf_dir):
     """Parts that replace the documents of the same key, then those again."""
+    return upserted(spark, sf_dir, table(spark, sf_dir, "part").where("p_partkey <= 50"))
+
+
+@query("SELECT lang AS lang_key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'new', count(*) FROM part")
+def upsert_whole(spark, sf_dir):
+    """upsert with all of part."""
+    return upserted(spark, sf_dir, table(spark, sf_dir, "part"))
+
+
+def upserted(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
+    """Documents by language after part was upserted twice."""
     path = written(spark, sf_dir)
-    part = table(spark, sf_dir, "part").where("p_partkey <= 50")
     new = as_documents(part.select("p_partkey", "p_name", F.concat(F.lit("part"), F.col("p_partkey")).alias("key"), F.lit("new").alias("lang")), "p_partkey", [FieldSpec("text", "p_name"), FieldSpec("id_key", "key", "keyword"), FieldSpec("lang_key", "lang", "keyword")])
     for _ in range(2):
         with IndexWriter(spark, path, length_mode="exact") as w:
