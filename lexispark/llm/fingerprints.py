@@ -22,7 +22,7 @@ from .util import only, steps, stored, sums
 
 BUCKETS, MIN_BYTES, BOUND = 128, 50, 500
 SIZE = 3 + BUCKETS // 4
-#: Difference up to which digests of documents count as near; of near copies by SimHash in sf0.1 some 90 % lie within it.
+#: Difference up to which digests of documents count as near; of near copies by SimHash in sf0.1 90 % lie within 32.
 #: Their search has TABLES tables, each keyed by BAND of the 3 * BUCKETS bits of a digest's quartiles in unary.
 NEAR, BAND, TABLES, SEED = 30, 36, 50, 20240301
 #: Reference digests that are sent to the executors at once.
