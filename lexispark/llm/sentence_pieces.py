@@ -3,16 +3,17 @@
 The model's protobuf is parsed here, field by field. From it are rebuilt: the normaliser (character map, extra white space,
 dummy prefix), the marker U+2581 for spaces, the vocabulary with a unigram model's scores or the merges that a BPE model's scores
 order, byte fallback, and the decoder. No piece of the vocabularies that are split so reaches from another character into a marker, so texts are
-cut before each run of markers without changing any result; a vocabulary with such a piece is not split. Distinct
-cuts are encoded once, in multithreaded batches, and kept while there are at most KEPT of them.
+cut before each run of markers without changing any result; a vocabulary with such a piece is not split. Cuts are found in the
+bytes of an Arrow column; distinct ones are encoded once, in multithreaded batches, and kept while there are at most KEPT.
 
-Parity: each distinct cut is also encoded by the sentencepiece library when it is first met, and whole texts in the
-tests. Where they differ (equally scored merges of one piece may be taken in another order) the library's ids count,
-and n_differ tells how many cuts of a text were so. Pass verify=False to leave this out.
+Parity: each distinct cut is also encoded by the sentencepiece library when it is first met, some of them joined to one text. The tests
+hold the backend alone against the library over whole documents. Where they differ (equally scored merges of one piece may be taken in
+another order) the library's ids count, and n_differ tells how many cuts of a text were so. Pass verify=False to leave this out.
 
-A null text has null ids, an empty one none. Rows are independent; a null doc_id is carried along. Control pieces' names in a
-text are ordinary text. Decoding gives the normalised text; `restored` says whether that is the text itself. Other
-columns of the input are not read.
+A null text has null ids, n_differ and restored, an empty one no ids; an empty table gives no rows. Whole texts are encoded, however long:
+beside its ids a text takes some ten bytes a character. Rows are independent: repeated rows give repeated results, a null doc_id is
+carried along. Control pieces' names in a text are ordinary text. Decoding gives the normalised text; `restored` says whether that is the
+text itself. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -22,17 +23,17 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .util import only, steps
+from .util import only, ragged, steps, sums
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, THREADS, KEPT, BATCH_CHARS = "▁", 2, 1 << 18, 1 << 19
+MARK, THREADS, KEPT, BATCH_CHARS, GROUP, JOINED = "▁", 2, 1 << 18, 1 << 21, 1 << 11, 1 << 7
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
@@ -140,46 +141,150 @@ class Backend:
             import sentencepiece
 
             self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.known: dict[str, list[int]] = {}
-        self.differ: set[str] = set()
+        self._forget()
         # pieces as decoded text, None where the decoder has to look at several at once
         self.plain = ["" if kind == CONTROL else None if kind == UNKNOWN else p.replace(MARK, " ") if kind != BYTE else chr(int(p[3:5], 16)) if int(p[3:5], 16) < 128 else None for p, _, kind in spec.pieces]
+        self.length = np.array([-1 if p is None else len(p) for p in self.plain], np.int64)
+        self.n_bytes = np.array([len(p.encode()) if kind in (NORMAL, USER) else int(kind == BYTE) for p, _, kind in spec.pieces], np.int64)
         self.control = frozenset(i for i, (_, _, kind) in enumerate(spec.pieces) if kind == CONTROL)
 
-    def normalised(self, text: str) -> str:
-        """With markers. An empty text stays empty."""
-        if self.before:
-            text = self.before.normalize_str(text)
-        if not text:
-            return ""
-        text = (MARK if self.spec.dummy_prefix else "") + text.replace(" ", MARK)
-        return text.rstrip(MARK) if self.spec.strip_extra else text  # a marker of the text itself counts as a space there
-
     def _learn(self, new: list[str]) -> None:
-        for cut, e in zip(new, self.inner.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[cut] = e.ids
-        if self.library and self.spec.dummy_prefix:
-            own = [c for c in new if c[0] == MARK and len(c) > 1]
-            for cut, ids in zip(own, self.library.encode([c[1:].replace(MARK, " ") for c in own], num_threads=THREADS)):
-                if self.known[cut] != ids:
-                    self.known[cut] = ids
-                    self.differ.add(cut)
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int] | None], list[int]]:
-        """Ids of each text, and how many cuts of it the backend would have encoded otherwise than the library."""
+        """Encodes cuts not met before and adds them to the tables, a group of them as one pretokenised sequence."""
+        groups = [new[i : i + GROUP] for i in range(0, len(new), GROUP)]
+        size, flat = [], []
+        for group, e in zip(groups, self.inner.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)):
+            ids = np.array(e.ids, np.int32)
+            ends, at = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in group]), np.cumsum(self.n_bytes[ids])
+            if (self.n_bytes[ids] > 0).all() and len(at) and at[-1] == ends[-1]:
+                size.append(np.diff(np.searchsorted(at, ends, "right"), prepend=0))
+            else:  # unknown pieces stand for any number of bytes
+                e = self.inner.encode(group, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(e.ids, np.int32)
+                size.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)))
+            flat.append(ids)
+        size, flat = np.concatenate(size), np.concatenate(flat)
+        first = np.cumsum(size) - size
+        differ = self._differing(new, first, size, flat) if self.library else {}
+        if differ:
+            parts = np.split(flat, first[1:])
+            for k, theirs in differ.items():
+                parts[k] = theirs
+            size, flat = np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)
+            first = np.cumsum(size) - size
+        other = np.zeros(len(new), bool)
+        other[list(differ)] = True
+        known = len(self.known)
+        self.known.update(zip(new, range(known, known + len(new))))
+        self.lossless = np.concatenate([self.lossless, self._lossless(new, first, size, flat)])
+        self.first = np.concatenate([self.first, first + len(self.flat)])
+        self.flat, self.size, self.differ = np.concatenate([self.flat, flat]), np.concatenate([self.size, size]), np.concatenate([self.differ, other])
+
+    def _differing(self, new: list[str], first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> dict[int, np.ndarray]:
+        """The library's ids of the cuts for which they are others. It encodes some cuts at once as one text, and those of a text that differs one by one."""
+        prefix = self.spec.dummy_prefix  # which the library adds itself
+        bare = [i for i, c in enumerate(new) if c[0] != MARK or c[-1] == MARK]  # they would run into their neighbours
+        alone = set(bare)
+        rest = [i for i in range(len(new)) if i not in alone]
+        groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
+        as_text = lambda cut: cut[1:] if prefix else cut  # noqa: E731 - a marker counts as a space that is not extra
+        for own, ids in zip(groups, self.library.encode([as_text("".join([new[i] for i in own])) for own in groups], num_threads=THREADS)):
+            at = np.array(own, np.int64)
+            mine = flat[ragged(first[at], size[at])]
+            if len(mine) != len(ids) or (mine != np.array(ids, np.int32)).any():
+                bare += own
+        if prefix:
+            bare = [i for i in bare if new[i] != MARK]  # an empty text
+        out = {}
+        for i, ids in zip(bare, self.library.encode([as_text(new[i]) for i in bare], num_threads=THREADS)):
+            if ids != flat[first[i] : first[i] + size[i]].tolist():
+                out[i] = np.array(ids, np.int32)
+        return out
+
+    def _lossless(self, new: list[str], first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Whether each cut's pieces put together are the cut. Those with bytes or unknown pieces are decoded for it."""
+        odd = sums((self.length[flat] < 0).astype(np.int64), size) > 0
+        out = ~odd & (sums(self.length[flat], size) == np.fromiter(map(len, new), np.int64, len(new)))
+        own = np.flatnonzero(out)
+        # equal lengths one by one and equal texts in all are equal texts one by one
+        if "".join(map(self.plain.__getitem__, flat[ragged(first[own], size[own])].tolist())) != "".join([new[i] for i in own.tolist()]).replace(MARK, " "):
+            out[:], odd[:] = False, True
+        for i in np.flatnonzero(odd).tolist():
+            text = self.tokenizer.decode(flat[first[i] : first[i] + size[i]].tolist(), skip_special_tokens=False)
+            out[i] = (" " if self.spec.dummy_prefix else "") + text == new[i].replace(MARK, " ")  # the decoder takes the prefix away
+        return out
+
+    def _forget(self) -> None:
+        e = np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}
+        self.first, self.size, self.flat = e, e, e.astype(np.int32)
+        self.differ, self.lossless = e.astype(bool), e.astype(bool)
+
+    def encode_column(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Ids of each text; how many cuts of it the backend would have encoded otherwise than the library; whether decoding gives the text."""
         if not self.cuts:
-            some = [t for t in texts if t]
-            done = iter([e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
-            return [None if t is None else next(done) if t else [] for t in texts], [0] * len(texts)
-        if len(self.known) > KEPT:
-            self.known.clear()
-            self.differ.clear()
-        split = [None if t is None else _CUTS.findall(self.normalised(t)) for t in texts]
-        new = sorted({c for s in split if s for c in s} - self.known.keys())
+            return self._encode_whole(texts)
+        if len(self.known) > KEPT or len(self.flat) > 64 * KEPT:
+            self._forget()
+        column = pa.array([None if t is None else self.before.normalize_str(t) for t in texts.to_pylist()], pa.string()) if self.before else texts
+        spaced = pc.replace_substring(column.cast(pa.large_string()), MARK, " ")  # a marker of the text itself counts as a space
+        if self.spec.strip_extra:
+            spaced = pc.utf8_rtrim(spaced, " ")
+        if self.spec.dummy_prefix:
+            spaced = pc.if_else(pc.equal(spaced, ""), spaced, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), spaced, pa.scalar("", pa.large_string())))
+        null = spaced.is_null().to_numpy(zero_copy_only=False)
+        spaced = pc.fill_null(spaced, "")
+        _, offsets, data = spaced.buffers()
+        starts = np.frombuffer(offsets, np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
+        raw = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None else np.zeros(0, np.uint8)
+        starts = starts - starts[0]
+        space = raw == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[starts[:-1][np.diff(starts) > 0]] = True
+        at = np.flatnonzero(begins)
+        of_text = np.diff(np.searchsorted(at, starts))  # cuts of each text
+        cuts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
+        coded = cuts.dictionary_encode()
+        names = pc.replace_substring(coded.dictionary, " ", MARK).to_pylist()
+        new = [c for c in names if c not in self.known]
         if new:
             self._learn(new)
-        ids = [None if s is None else list(chain.from_iterable(map(self.known.__getitem__, s))) for s in split]
-        return ids, [sum(c in self.differ for c in s) if s and self.differ else 0 for s in split]
+        entry = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        own = entry[coded.indices.to_numpy()]
+        n = self.size[own]
+        ids = self.flat[ragged(self.first[own], n)]
+        ends = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(sums(n, of_text), out=ends[1:])
+        if ends[-1] >= 1 << 31:
+            raise ValueError("a batch of over 2**31 ids")
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(null, False)), pa.array(ids))
+        differ = sums(self.differ[own].astype(np.int64), of_text)
+        restored = sums((~self.lossless[own]).astype(np.int64), of_text) == 0
+        same = pc.fill_null(pc.equal(pc.utf8_slice_codeunits(spaced, 1) if self.spec.dummy_prefix else spaced, texts.cast(pa.large_string())), False).to_numpy(zero_copy_only=False)
+        restored &= same
+        # cuts that do not give themselves back: the text as a whole decides
+        for i in np.flatnonzero(~restored & ~null):
+            restored[i] = self.decode([lists[i].as_py()])[0] == texts[i].as_py()
+        return lists, differ, restored
+
+    def _encode_whole(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        some = [t for t in texts.to_pylist() if t]
+        done = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        differ = np.zeros(len(some), np.int64)
+        if self.library:
+            theirs = self.library.encode(some, num_threads=THREADS)
+            differ = np.array([a != b for a, b in zip(done, theirs)], np.int64)
+            done = theirs
+        done, differ = iter(done), iter(differ.tolist())
+        ids = [None if t is None else next(done) if t else [] for t in texts.to_pylist()]
+        n_differ = np.array([next(differ) if t else 0 for t in texts.to_pylist()], np.int64)
+        same = np.array([a == b for a, b in zip(self.decode(ids), texts.to_pylist())], bool)
+        return pa.array(ids, pa.list_(pa.int32())), n_differ, same
+
+    def encode(self, texts: list[str | None]) -> tuple[list[list[int] | None], list[int]]:
+        """Ids of each text, and how many cuts of it the backend would have encoded otherwise than the library."""
+        ids, differ, _ = self.encode_column(pa.array(texts, pa.string()))
+        return ids.to_pylist(), differ.tolist()
 
     def decode(self, rows: list[list[int] | None]) -> list[str | None]:
         out: list[str | None] = []
@@ -197,9 +302,6 @@ class Backend:
         return [t.lstrip(" ") if t else t for t in out] if self.spec.strip_extra else out
 
 
-_CUTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-
 @lru_cache(2)
 def backend(path: str, verify: bool = True) -> Backend:
     with open(path, "rb") as f:
@@ -212,19 +314,12 @@ def encode(docs: DataFrame, model: str = MODEL, verify: bool = True, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = backend(model, verify)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in steps(texts, BATCH_CHARS):
-                ids, differ = b.encode(texts[i:j])
-                back = b.decode(ids)
-                size = np.fromiter((len(x) if x else 0 for x in ids), np.int64, j - i)
-                starts = np.zeros(j - i + 1, np.int64)
-                np.cumsum(size, out=starts[1:])
-                flat = np.fromiter(chain.from_iterable(x for x in ids if x), np.int32, int(starts[-1]))
-                null = np.array([x is None for x in ids])
-                offsets = pa.array(starts.astype(np.int32), mask=np.append(null, False))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
-                same = pa.array([None if t is None else t == r for t, r in zip(texts[i:j], back)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists, pa.array(differ, pa.int32(), mask=null), same], ["doc_id", "ids", "n_differ", "restored"])
+            texts = batch.column(1)
+            for i, j in steps(pc.utf8_length(texts).to_pylist(), BATCH_CHARS):
+                own = texts[i:j]
+                lists, differ, restored = b.encode_column(own)
+                null = own.is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists, pa.array(differ, pa.int32(), mask=null), pa.array(restored, mask=null)], ["doc_id", "ids", "n_differ", "restored"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_differ int, restored boolean")

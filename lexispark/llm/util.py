@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +40,11 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{v}`").alias(k) for k, v in columns.items()])
 
 
-def steps(texts: list[str | None], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about the same number of characters, at most `most` unless one text is longer."""
+def steps(texts: list[str | None] | list[int | None], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts (or their lengths) that hold about the same number of characters, at most `most` unless one text is longer."""
     start, n = 0, 0
     for i, t in enumerate(texts):
-        k = len(t) if t else 0
+        k = (t if isinstance(t, int) else len(t)) if t else 0
         if n and n + k > most:
             yield start, i
             start, n = i, 0
@@ -123,6 +122,3 @@ def sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
         out[full] = np.add.reduceat(values, first[full], axis=0)
     return out
 
-
-def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str | None]:
-    return column.to_pylist()

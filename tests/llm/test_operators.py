@@ -195,6 +195,8 @@ def test_piece_parity(kind, fallback):
     library, own = sentencepiece.SentencePieceProcessor(model_proto=data), sentence_pieces.Backend(data, verify=False)
     ids, _ = own.encode(TEXTS)
     assert ids == library.encode(TEXTS)
+    verified, differ = sentence_pieces.Backend(data).encode(TEXTS)
+    assert verified == ids and sum(differ) == 0
     if fallback:
         assert own.decode(ids) == [library.decode(i) for i in ids]
 
@@ -205,7 +207,24 @@ def test_installed_model_parity():
     library, own = sentencepiece.SentencePieceProcessor(model_proto=data), sentence_pieces.Backend(data)
     ids, differ = own.encode([*TEXTS, None])
     assert ids == [*library.encode(TEXTS), None] and sum(differ) == 0
-    assert [t for t in own.decode(ids)] == [*TEXTS, None]
+    assert own.decode(ids) == [*(library.decode(i) for i in ids[:-1]), None]
+
+
+def test_backend_alone_over_documents(spark):
+    """Without the library's help: ids and decoded texts of all documents, whole, and the query's columns."""
+    with open(sentence_pieces.MODEL, "rb") as f:
+        data = f.read()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in docs.union(extra).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    for verify in (False, True):
+        got = sentence_pieces.encode(docs.union(extra), verify=verify).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            t = rows[r.doc_id]
+            want = None if t is None else library.encode(t)
+            assert r.ids == want and r.n_differ == (None if t is None else 0) and r.restored == (None if t is None else library.decode(want) == t)
 
 
 def test_toxicity_gradients_and_windows():
