@@ -6,27 +6,30 @@ each bucket the quartile (2 bits) that its count falls in.
 
 Nulls and texts of under MIN_BYTES bytes, or whose third quartile is 0 (too little variety), have a null
 digest, and then null twin, near, item and scores. Rows are independent: equal texts have equal digests, repeated
-rows give repeated results, a null doc_id is carried along. Other columns of the input are not read.
+rows give repeated results, a null doc_id is carried along. Whole texts are hashed, STEP_CHARS windows at a time; an empty table gives no
+rows, without references item_id and score are null. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import only, steps, stored, sums
+from .util import STEP_CHARS, only, shared_dir, steps
 
 BUCKETS, MIN_BYTES, BOUND = 128, 50, 500
 SIZE = 3 + BUCKETS // 4
 #: Difference up to which digests of documents count as near; of near copies by SimHash in sf0.1 90 % lie within 32.
 #: Their search has TABLES tables, each keyed by BAND of the 3 * BUCKETS bits of a digest's quartiles in unary.
 NEAR, BAND, TABLES, SEED = 30, 36, 50, 20240301
-#: Reference digests that are sent to the executors at once.
-MOST_REFERENCES = 1 << 16
+#: Digests that are compared with as many at once, and rows that a task holds while it goes through the references.
+BLOCK, HELD = 512, 1 << 16
 
 _CODES = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
 _STEP = np.abs(_CODES[:, None, :] - _CODES[None, :, :])
@@ -35,33 +38,37 @@ _BODY = np.where(_STEP == 3, 6, _STEP).sum(2).astype(np.int16)
 
 
 def digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest bytes (n, SIZE), which rows have a digest, and lengths in bytes."""
+    """Digest bytes (n, SIZE), which rows have a digest, and lengths in bytes. Windows are hashed STEP_CHARS at a time, whatever a text's length."""
     raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
     n = np.fromiter(map(len, raw), np.int64, len(raw))
     out, good = np.zeros((len(raw), SIZE), np.uint8), n >= MIN_BYTES
     if not good.any():
         return out, good, n
     use = np.flatnonzero(good)
-    b = np.frombuffer(b"".join([raw[i] for i in use]), np.uint8).astype(np.uint32)
+    joined = np.frombuffer(b"".join([raw[i] for i in use]), np.uint8)
     size = n[use]
     ends = np.cumsum(size)
-    inside = np.ones(len(b), bool)
-    inside[(ends[:, None] - np.arange(1, 4)).ravel()] = False
-    at = np.flatnonzero(inside)
-    base = np.repeat(np.arange(len(use)), size - 3) * BUCKETS
-    w = [b[at + k] for k in range(4)]
-    counts = np.zeros(len(use) * BUCKETS, np.int64)
-    for salt, (i, j, k) in ((3, (0, 1, 2)), (11, (0, 1, 3)), (23, (0, 2, 3))):
-        h = (w[i] * np.uint32(65599) + w[j]) * np.uint32(65599) + w[k] + np.uint32(salt * 7919)
-        h = h * np.uint32(2654435761) >> np.uint32(25)
-        counts += np.bincount(base + h, minlength=len(counts))
+    counts, check = np.zeros(len(use) * BUCKETS, np.int64), np.zeros(len(use), np.int64)
+    for low in range(0, len(joined) - 3, STEP_CHARS):
+        b = joined[low : low + STEP_CHARS + 3].astype(np.uint32)
+        place = np.arange(low, low + len(b) - 3)
+        own = np.searchsorted(ends, place, "right")
+        at = np.flatnonzero(place + 3 < ends[own])  # windows that lie in one text
+        own = own[at]
+        w = [b[at + k] for k in range(4)]
+        for salt, (i, j, k) in ((3, (0, 1, 2)), (11, (0, 1, 3)), (23, (0, 2, 3))):
+            h = (w[i] * np.uint32(65599) + w[j]) * np.uint32(65599) + w[k] + np.uint32(salt * 7919)
+            h = h * np.uint32(2654435761) >> np.uint32(25)
+            first, last = own[0] * BUCKETS, (own[-1] + 1) * BUCKETS
+            counts[first:last] += np.bincount(own * BUCKETS - first + h, minlength=last - first)
+        check[own[0] : own[-1] + 1] += np.bincount(own - own[0], mixed(w[0], w[1])).astype(np.int64)
     counts = counts.reshape(-1, BUCKETS)
     ranked = np.sort(counts, 1)
     q1, q2, q3 = (ranked[:, k * BUCKETS // 4 - 1 : k * BUCKETS // 4] for k in (1, 2, 3))
     quarter = ((counts > q1).astype(np.uint8) + (counts > q2) + (counts > q3)).reshape(len(use), -1, 4)
     q = np.maximum(q3[:, 0], 1)
     d = np.empty((len(use), SIZE), np.uint8)
-    d[:, 0] = sums(mixed(w[0], w[1]), size - 3) & 255
+    d[:, 0] = check & 255
     d[:, 1] = np.minimum(8 * np.log2(size), 255)
     d[:, 2] = q1[:, 0] * 15 // q << 4 | q2[:, 0] * 15 // q
     d[:, 3:] = (quarter << np.array([0, 2, 4, 6], np.uint8)).sum(2)
@@ -106,46 +113,91 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, digest string, n_bytes long")
 
 
+class Planes(NamedTuple):
+    """Digests taken apart for comparison by words: the quartiles in unary, plane by plane, and the head's numbers."""
+
+    over: np.ndarray  # (3, BUCKETS // 64, n): bit set where a bucket's quartile is over 0, 1, 2
+    check: np.ndarray
+    length: np.ndarray
+    ratio: np.ndarray  # (2, n)
+
+
+def planes(d: np.ndarray) -> Planes:
+    codes = (d[:, 3:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(d), -1)
+    over = np.stack([np.packbits(codes > k, axis=1).view(np.uint64).T for k in range(3)])
+    return Planes(np.ascontiguousarray(over), d[:, 0].copy(), d[:, 1].astype(np.int16), np.stack([d[:, 2] >> 4, d[:, 2] & 15]).astype(np.int16))
+
+
+def table_of(a: Planes, b: Planes, bound: int = BOUND) -> np.ndarray:
+    """(n, m) scores of all digests of a against all of b: differences(), by population counts."""
+    body = np.zeros((a.check.size, b.check.size), np.int16)
+    for w in range(BUCKETS // 64):
+        for k in range(3):
+            body += np.bitwise_count(a.over[k, w][:, None] ^ b.over[k, w])
+        # a quartile of 3 against one of 0 counts three more
+        for x, y in ((a, b), (b, a)):
+            far = x.over[2, w][:, None] & ~y.over[0, w] if x is a else ~y.over[0, w][:, None] & x.over[2, w]
+            body += 3 * np.bitwise_count(far).astype(np.int16)
+    length = np.abs(a.length[:, None] - b.length)
+    body += (a.check[:, None] != b.check) + np.where(length > 1, 4 * (length - 1), length)
+    for k in range(2):
+        ratio = np.abs(a.ratio[k][:, None] - b.ratio[k])
+        body += np.where(ratio > 1, 12 * (ratio - 1), ratio)
+    return np.minimum(body, bound)
+
+
 def nearest(prints: DataFrame, references: DataFrame, bound: int = BOUND) -> DataFrame:
     """prints with the reference (item_id, digest) of least score, ties to the smallest item_id, and that score.
 
-    Exact: every row is held against every reference. References go to the executors MOST_REFERENCES
-    at a time; with more of them the rows are passed once for each such part."""
-    refs = references.where("digest is not null and item_id is not null").select("item_id", "digest").dropDuplicates(["item_id", "digest"])
-    n = refs.count()
-    parts = max(1, -(-n // MOST_REFERENCES))
-    if parts > 1:
-        refs, prints = stored(refs, "references"), stored(prints, "prints")
+    Exact: every row is held against every reference, BLOCK rows by BLOCK references at a time. The references are a table in the shared folder, of
+    which each task reads a part of a file at a time, so their number has no bound; rows pass as they come, and repeated ones stay."""
+    refs = references.where("digest is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "digest").distinct()
+    path = shared_dir(prints.sparkSession, "references")
+    refs.write.parquet(path)
     names = prints.columns
-    out = None
-    for p in range(parts):
-        rows = refs.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).orderBy("item_id").collect() if parts > 1 else refs.orderBy("item_id", "digest").collect()
-        sent = prints.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([list(bytes.fromhex(r[1])) for r in rows], np.uint8).reshape(-1, SIZE)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, ref = sent.value
-            for batch in batches:
-                hexed = batch.column(names.index("digest")).to_pylist()
-                have = np.array([h is not None for h in hexed], bool)
-                item, score = np.zeros(len(hexed), np.int64), np.full(len(hexed), 1 << 20, np.int32)
-                if have.any() and len(ids):
-                    a = np.frombuffer(bytes.fromhex("".join(h for h in hexed if h is not None)), np.uint8).reshape(-1, SIZE)
-                    best, who = score[have], item[have]
-                    for k in range(len(ids)):
-                        d = differences(a, ref[k], bound)
-                        less = d < best
-                        best[less], who[less] = d[less], ids[k]
-                    score[have], item[have] = best, who
-                none = ~have | (len(ids) == 0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(item, mask=none), pa.array(score, pa.int32(), mask=none)], [*names, "item_id", "score"])
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prints.schema) + ", item_id long, score int"
-        one = prints.mapInArrow(run, schema)
-        out = one if out is None else out.unionByName(one)
-    if parts > 1:
-        best = F.min_by(F.struct("item_id", "score"), F.struct("score", "item_id")).alias("best")
-        out = out.groupBy(*names).agg(best).select(*names, "best.item_id", "best.score")
-    return out
+    at = names.index("digest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:  # the more rows are held, the less often the references are read
+                yield from judged(held)
+                held, n = [], 0
+        if held:
+            yield from judged(held)
+
+    def judged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hexed = [h for batch in held for h in batch.column(at).to_pylist()]
+        have = np.array([h is not None for h in hexed], bool)
+        a = np.frombuffer(bytes.fromhex("".join(h for h in hexed if h is not None)), np.uint8).reshape(-1, SIZE)
+        score, item = np.full(len(a), 1 << 20, np.int64), np.zeros(len(a), np.int64)
+        for part in ds.dataset(path, format="parquet").to_batches(columns=["item_id", "digest"], batch_size=1 << 14) if len(a) else ():
+            order = np.argsort(part.column(0).to_numpy(), kind="stable")
+            ids = part.column(0).to_numpy()[order]
+            ref = np.frombuffer(bytes.fromhex("".join(part.column(1).to_pylist())), np.uint8).reshape(-1, SIZE)[order]
+            for k in range(0, len(ids), BLOCK):
+                b = planes(ref[k : k + BLOCK])
+                for i in range(0, len(a), BLOCK):
+                    t = table_of(planes(a[i : i + BLOCK]), b, bound)
+                    who = t.argmin(1)  # the first, so the smallest item_id
+                    least, own = t[np.arange(len(t)), who].astype(np.int64), ids[k + who]
+                    rows = slice(i, i + BLOCK)
+                    less = (least < score[rows]) | ((least == score[rows]) & (own < item[rows]))
+                    score[rows][less], item[rows][less] = least[less], own[less]
+        none = np.ones(len(hexed), bool)
+        none[have] = score == 1 << 20
+        items, scores = np.zeros(len(hexed), np.int64), np.zeros(len(hexed), np.int64)
+        items[have], scores[have] = item, score
+        first = 0
+        for batch in held:
+            own = slice(first, first + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(items[own], mask=none[own]), pa.array(scores[own].astype(np.int32), mask=none[own])], [*names, "item_id", "score"])
+            first += batch.num_rows
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prints.schema) + ", item_id long, score int"
+    return prints.mapInArrow(run, schema)
 
 
 def twins(prints: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,25 +15,49 @@ from pyspark.sql import functions as F
 STEP_CHARS = 1 << 19
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's address below the one that spark.checkpoint.dir names.
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's tables, below the one that spark.checkpoint.dir names.
 
-    Where that is unset, as in tests on one machine, a temporary folder is set."""
+    Where that is unset, a temporary folder is set on a single machine; a cluster without a shared folder is an error."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexispark-")
         sc.setCheckpointDir(base)
-    if "://" not in base:
-        base = "file://" + base if base.startswith("/") else base
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if base.startswith("/"):
+        base = "file://" + base
+    return f"{base.rstrip('/')}/lexispark-{sc.applicationId}"
+
+
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """A new folder's address below scratch()."""
+    return f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, whatever file system it lies on; none is no error."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that the operators have written for this application, once their results are no longer read."""
+    remove(spark, scratch(spark))
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written once to the shared folder and reread: its lineage ends there and executors may be lost."""
+    return stored_at(df, what)[0]
+
+
+def stored_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """stored(), and the folder, for who can tell when it is no longer read."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -61,7 +86,7 @@ def codes(texts: list[str], between: str = "\0") -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), starts
 
 
-_WORD = np.array([chr(c).isalnum() for c in range(0x10000)])
+_WORD = np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,23 +111,35 @@ def powers(n: int) -> np.ndarray:
     return out
 
 
+_POWERS = powers(4096)
+
+
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of letters and digits of the lower-cased texts.
 
-    Returns the code points, each word's start and end in them, its 64-bit hash and the number of its text."""
+    Returns the code points, each word's start and end in them, its 64-bit hash and the number of its text. Beside
+    these it takes a few bytes a character: letters are hashed STEP_CHARS at a time, in long words too."""
     cp, starts = codes([t.lower() for t in texts])
-    inside = np.where(cp < 0x10000, _WORD[np.minimum(cp, 0xFFFF)], True)
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    inside = _WORD[cp]
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     a, b = edge[0::2], edge[1::2]
     if not len(a):
         e = np.zeros(0, np.int64)
         return cp, e, e, np.zeros(0, np.uint64), e
-    size = b - a
-    at = np.flatnonzero(inside)
-    first = np.zeros(len(a), np.int64)
-    np.cumsum(size[:-1], out=first[1:])
-    place = np.arange(len(at)) - np.repeat(first, size)
-    h = np.add.reduceat((cp[at].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place], first)
+    h = np.zeros(len(a), np.uint64)
+    for low in range(0, len(cp), STEP_CHARS):
+        high = min(low + STEP_CHARS, len(cp))
+        u, v = np.searchsorted(b, low, "right"), np.searchsorted(a, high, "left")  # words that reach into this range
+        if u == v:
+            continue
+        first, last = np.maximum(a[u:v], low), np.minimum(b[u:v], high)
+        size = last - first
+        at = ragged(first, size)
+        place = at - np.repeat(a[u:v], size)
+        value = (cp[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095]
+        far = np.flatnonzero(place > 4095)
+        value[far] *= mix(place[far] >> 12) | np.uint64(1)
+        h[u:v] += np.add.reduceat(value, np.cumsum(size) - size)
     return cp, a, b, mix(h), np.searchsorted(starts, a, "right") - 1
 
 
