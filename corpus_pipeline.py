@@ -12,9 +12,7 @@ from lexispark.llm.util import shared_dir, stored
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity lies inside their language's band, under a model of these documents."""
-    model = perplexity.train(perplexity.count(docs))
-    scores = stored(perplexity.score(docs, model), "scores")
-    return perplexity.reject(docs, model, perplexity.bands(scores))
+    return perplexity.reject(docs, perplexity.train(perplexity.count(docs)))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ rows, without references item_id and score are null. Other columns of the input
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,13 +22,13 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import STEP_CHARS, only, shared_dir, steps
+from .util import STEP_CHARS, compared, mix, only, powers, runs, shared_dir, steps, stored
 
 BUCKETS, MIN_BYTES, BOUND = 128, 50, 500
 SIZE = 3 + BUCKETS // 4
 #: Difference up to which digests of documents count as near; of near copies by SimHash in sf0.1 90 % lie within 32.
-#: Their search has TABLES tables, each keyed by BAND of the 3 * BUCKETS bits of a digest's quartiles in unary.
-NEAR, BAND, TABLES, SEED = 30, 36, 50, 20240301
+#: Their search has tables keyed by BAND or more of the 3 * BUCKETS bits of a digest's quartiles in unary and by ranges of LENGTHS length codes.
+NEAR, BAND, LENGTHS, RECALL, SEED = 30, 32, 10, 0.92, 20240301
 #: Digests that are compared with as many at once, and rows that a task holds while it goes through the references.
 BLOCK, HELD = 512, 1 << 16
 
@@ -212,17 +213,35 @@ def unary(d: np.ndarray) -> np.ndarray:
     return np.concatenate([codes > k for k in range(3)], axis=1).astype(np.uint8)
 
 
-def samples(tables: int = TABLES, band: int = BAND) -> np.ndarray:
-    """The unary bits that each table's key is made of, disjoint within a permutation."""
+def tables_for(band: int, radius: int = NEAR) -> int:
+    """Tables with which a pair at a difference of `radius` is met with RECALL, wherever its difference lies: all of it in the quartiles, or a
+    part of it in the lengths, which have to fall into one of the table's ranges as well."""
+    least = 1.0
+    for apart in range(LENGTHS):
+        body = radius - (apart if apart < 2 else 4 * (apart - 1))
+        if body >= 0:
+            same = np.prod([(3 * BUCKETS - body - i) / (3 * BUCKETS - i) for i in range(band)])
+            least = min(least, same * (1 - apart / LENGTHS))
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-least))
+
+
+def band_for(n: int) -> int:
+    """Bits of a key: more for more digests, so that the rows of one key stay about as few."""
+    return BAND + 4 * max(0, math.ceil(math.log2(max(n, 1))) - 22)
+
+
+def samples(band: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unary bits that each table's key is made of, disjoint within a permutation, and where its ranges of lengths begin."""
     rng, each = np.random.default_rng(SEED), 3 * BUCKETS // band
-    return np.concatenate([rng.permutation(3 * BUCKETS)[: each * band].reshape(each, band) for _ in range(-(-tables // each))])[:tables]
+    bits = np.concatenate([rng.permutation(3 * BUCKETS)[: each * band].reshape(each, band) for _ in range(-(-tables // each))])[:tables]
+    return bits, rng.integers(0, LENGTHS, tables)
 
 
 def nearest_in_runs(d: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For each digest the least difference to the others of its run start[i] .. start[i] + size[i], and the first row that has it.
 
     All pairs of a run are compared; a difference of more than radius may be missed. Memory follows the rows, not the pairs."""
-    bits = np.concatenate([np.packbits(unary(d[i : i + 16384]), axis=1).view(np.uint64) for i in range(0, len(d), 16384)])
+    bits = np.concatenate([np.packbits(unary(d[i : i + 16384]), axis=1).view(np.uint64) for i in range(0, len(d), 16384)]).T.copy()
     best = np.full(len(d), 1 << 60, np.int64)  # score and row in one number
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
@@ -232,10 +251,15 @@ def nearest_in_runs(d: np.ndarray, start: np.ndarray, size: np.ndarray, radius:
         total = np.cumsum(n)
         at = 0
         while at < len(n):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 16), "right")))
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 15), "right")))
             m = n[at:to]
             i = np.repeat(start[at:to] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
-            i = i[np.bitwise_count(bits[i] ^ bits[i + k]).sum(1, dtype=np.int32) <= radius]
+            apart = np.zeros(len(i), np.int16)
+            for w in range(len(bits)):
+                apart += np.bitwise_count(bits[w, i] ^ bits[w, i + k])
+                if w & 1:  # most are too far apart by then
+                    near = apart <= radius
+                    i, apart = i[near], apart[near]
             score = differences(d[i], d[i + k]).astype(np.int64) << 40
             best[i] = np.minimum(best[i], score | i + k)
             best[i + k] = np.minimum(best[i + k], score | i)
@@ -243,40 +267,43 @@ def nearest_in_runs(d: np.ndarray, start: np.ndarray, size: np.ndarray, radius:
     return best >> 40, best & (1 << 40) - 1
 
 
-def near_copies(prints: DataFrame, radius: int = NEAR, tables: int = TABLES, band: int = BAND) -> DataFrame:
+def near_copies(prints: DataFrame, radius: int = NEAR, band: int | None = None) -> DataFrame:
     """prints with near, the doc_id of least difference, at most radius, among the rows of another digest, ties to the smallest doc_id, and near_score.
 
-    Candidates are the digests that agree in a table's key; all of them are compared. A pair at a difference of NEAR is met with
-    over 0.9, a nearer one with more. A digest that only rows without doc_id have is not searched: near is null."""
-    nodes = prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node is not null")
-    pick = samples(tables, band)
+    Candidates are the digests that agree in a table's key, which is sampled bits of the quartiles and a range of lengths; all of them are
+    compared. A pair at a difference of radius is met with RECALL, a nearer one with more; the key's width (unless it is given) follows the
+    number of digests and the number of tables follows the width. A digest that only rows without doc_id have is not searched: near is null."""
+    nodes = stored(prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node is not null").select(F.unhex("digest").alias("code"), "node"), "digests")
+    width = band or band_for(nodes.count())
+    pick, begin = samples(width, tables_for(width, radius))
 
     def fan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(band, dtype=np.int64)
+        weights = powers(width)
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                bits = unary(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, SIZE))
-                key = np.concatenate([(bits[:, p] @ weights) * tables + t for t, p in enumerate(pick)])
-                again = pa.array(np.tile(np.arange(len(bits)), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *[c.take(again) for c in part.columns]], ["key", "code", "node"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        whole = pa.Table.from_batches(held).combine_chunks()
+                d = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, SIZE)
+                bits = unary(d).astype(np.uint64)
+                length = d[:, 1].astype(np.int64)
+                key = np.concatenate([mix((bits[:, p] * weights).sum(1, dtype=np.uint64) + mix(np.array((length + o) // LENGTHS * len(pick) + t))) for t, (p, o) in enumerate(zip(pick, begin))])
+                again = pa.array(np.tile(np.arange(len(bits)), len(pick)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[c.take(again) for c in part.columns]], ["key", "code", "node"])
+
+    def compare(whole: pa.Table) -> pa.Table:
         key, node = whole.column("key").to_numpy(), whole.column("node").to_numpy()
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        d = np.frombuffer(b"".join(whole.column("code").to_pylist()), np.uint8).reshape(-1, SIZE)[order]
-        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
+        edge = runs(key)
+        some = np.repeat(np.diff(edge) > 1, np.diff(edge))  # rows that have their key alone have nobody to meet
+        if not some.any():
+            return pa.Table.from_pydict({"code": pa.array([], pa.binary()), "near": pa.array([], whole.column("node").type), "near_score": pa.array([], pa.int32())})
+        key, node = key[some], node[some]
+        d = np.frombuffer(b"".join(whole.column("code").filter(pa.array(some)).to_pylist()), np.uint8).reshape(-1, SIZE)
+        edge = runs(key)
         score, other = nearest_in_runs(d, edge[:-1], np.diff(edge), radius)
         own = np.flatnonzero(score <= radius)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in d[own]], pa.binary()), pa.array(node[other[own]]), pa.array(score[own], pa.int32())], ["code", "near", "near_score"])
+        return pa.Table.from_pydict({"code": pa.array([x.tobytes() for x in d[own]], pa.binary()), "near": pa.array(node[other[own]], whole.column("node").type), "near_score": pa.array(score[own], pa.int32())})
 
     kind = prints.schema["doc_id"].dataType.simpleString()
-    fanned = nodes.select(F.unhex("digest").alias("code"), "node").mapInArrow(fan, f"key long, code binary, node {kind}")
-    found = fanned.repartition("key").mapInArrow(compare, f"code binary, near {kind}, near_score int")
+    fanned = nodes.mapInArrow(fan, f"key long, code binary, node {kind}")
+    found = compared(fanned, compare, f"code binary, near {kind}, near_score int")
     best = found.groupBy("code").agg(F.min(F.struct("near_score", "near")).alias("best")).select(F.lower(F.hex("code")).alias("digest"), "best.near", "best.near_score")
     return prints.join(best, "digest", "left").select(*prints.columns, "near", "near_score")

@@ -1,23 +1,25 @@
 """SimHash near-duplicate removal by bit-sliced comparison.
 
 A signature has BITS bits: the majority, over a text's distinct words and distinct word pairs, of each bit of their
-hashes. Rows of equal signature are one node. Candidates are found in TABLES tables, each keyed by BAND
-sampled bits of the signature. Within the rows of one key all pairs are compared bit-sliced: each bit of
+hashes. Rows of equal signature are one node. Candidates are found in tables, each keyed by BAND (for over 2**24 signatures
+more) sampled bits of the signature. The rows of one key are compared bit-sliced: each bit of
 the signatures is a plane with one lane a row (or pair); planes are combined by XOR, added up by carry-save
-counters, and a block of lanes is abandoned once every lane's count exceeds RADIUS. Groups are the
-connected components of the pairs within RADIUS.
+counters, and a block of lanes is abandoned once every lane's count exceeds RADIUS. Pairs that could only connect what is
+connected already are left out. Groups are the connected components of the pairs within RADIUS.
 
-Search is approximate, with no cap on candidates. The keys of BITS // BAND tables are disjoint bits of one permutation; a pair
-meets in one of them with 0.11 at d = RADIUS, and in some of the 24 permutations with 0.94 (d = 24: 0.99). So pairs at every
-distance up to RADIUS are met with over 0.9, and a group is whole as soon as its pairs connect it.
+Search is approximate, with no cap on candidates: a pair at a distance of RADIUS meets in one of the tables with RECALL, whatever the
+key's width, which the number of tables follows; nearer pairs meet with more (d = 24: 0.99), and a group is whole as soon as its pairs connect it.
+Tasks hold a bounded number of rows; a key with more is compared in blocks, two by two.
 
 A null text, or one without letters or digits, has no signature and is in no group. A null doc_id is in no
 group either: such rows are kept. Repeated rows (equal doc_id) are one node; the first by text stays. Of a group the
-smallest doc_id stays. Other columns are not read, or in deduplicate() passed through untouched.
+smallest doc_id stays. An empty table gives no groups. Whole texts are read: some 60 bytes a character are held meanwhile. Other columns
+are not read, or in deduplicate() passed through untouched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import mix, only, steps, stored, sums, words
+from .util import compared, mix, only, remove, runs, steps, stored, stored_at, sums, words
 
-BITS, RADIUS, BAND, TABLES, SEED = 128, 28, 16, 192, 20240229
+BITS, RADIUS, BAND, RECALL, SEED = 128, 28, 16, 0.93, 20240229
 #: Rows of a key from which they are compared as blocks rather than by offset, and rows and words of 64 lanes of a block.
 BLOCK_FROM, QUERIES = 48, 64
 #: Ids of dropped rows that may be broadcast; beyond it they are joined by a shuffle.
@@ -131,44 +133,67 @@ def lanes(mask: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(sig: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers at most radius apart, both in one of the runs start[i] .. start[i] + size[i]."""
+    """All pairs of row numbers at most radius apart, both in one of the runs start[i] .. start[i] + size[i], which are short ones."""
     left, right = [], []
-    small = np.flatnonzero((size > 1) & (size < BLOCK_FROM))
-    if len(small):
-        small = small[np.argsort(-size[small], kind="stable")]
-        count = size[small]
-        # rows of the longest runs first; at offset k only the runs of over k rows are left, a prefix
-        for k in range(1, int(count[0])):
-            some = count > k
-            n = count[some] - k
-            a = np.repeat(start[small[some]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            for i in range(0, len(a), 1 << 15):
-                own = a[i : i + (1 << 15)]
-                p = planes(sig[own] ^ sig[own + k])
-                hit = within(lambda b, p=p: p[b], BITS, radius)
-                if hit is not None:
-                    at = np.flatnonzero(lanes(hit)[: len(own)])
-                    left.append(own[at])
-                    right.append(own[at] + k)
-    for g in np.flatnonzero(size >= BLOCK_FROM):
-        a, m = int(start[g]), int(size[g])
-        p = planes(sig[a : a + m])
-        for q in range(0, m, QUERIES):
-            own = sig[a + q : min(a + q + QUERIES, a + m)]
-            mask = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1).astype(np.uint64) * ~np.uint64(0)  # a query's bit in every lane
-            for w in range(q // 64, p.shape[1], 1 << 9):
-                block = p[:, w : w + (1 << 9)]
-                hit = within(lambda b, block=block, mask=mask: block[b][None, :] ^ mask[:, b, None], BITS, radius)
-                if hit is not None:
-                    x, y = np.nonzero(lanes(hit))
-                    x, y = x + q, y + w * 64
-                    ok = (y > x) & (y < m)
-                    left.append(a + x[ok])
-                    right.append(a + y[ok])
+    order = np.argsort(-size, kind="stable")
+    start, count = start[order], size[order]
+    # rows of the longest runs first; at offset k only the runs of over k rows are left, a prefix
+    for k in range(1, int(count[0]) if len(count) else 0):
+        some = count > k
+        n = count[some] - k
+        a = np.repeat(start[some], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        for i in range(0, len(a), 1 << 15):
+            own = a[i : i + (1 << 15)]
+            p = planes(sig[own] ^ sig[own + k])
+            hit = within(lambda b, p=p: p[b], BITS, radius)
+            if hit is not None:
+                at = np.flatnonzero(lanes(hit)[: len(own)])
+                left.append(own[at])
+                right.append(own[at] + k)
     e = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (e, e)
 
 
+def spanning(sig: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each row of one long run the first row that it is connected with by steps of at most radius.
+
+    QUERIES rows at a time are compared with all; rows of the largest component found so far need no comparison with each other, so
+    only the others go on as queries. So a dense group costs a few passes, and no pairs are kept."""
+    m = len(sig)
+    p, root, asked = planes(sig), np.arange(m), np.zeros(m, bool)
+    while True:
+        inside = np.bincount(root, minlength=m)
+        waiting = np.flatnonzero(~asked & (root != inside.argmax())) if inside.max() > 1 else np.flatnonzero(~asked)
+        if not len(waiting):
+            return root
+        own = waiting[:QUERIES]
+        asked[own] = True
+        mask = np.unpackbits(np.ascontiguousarray(sig[own]).view(np.uint8), axis=1).astype(np.uint64) * ~np.uint64(0)  # a query's bit in every lane
+        left, right = [own], [own]
+        for w in range(0, p.shape[1], 1 << 9):
+            block = p[:, w : w + (1 << 9)]
+            hit = within(lambda b, block=block, mask=mask: block[b][None, :] ^ mask[:, b, None], BITS, radius)
+            if hit is None:
+                continue
+            x, y = np.nonzero(lanes(hit)[:, : m - w * 64].T)[::-1]  # by lane, so that a lane's first query comes first
+            first = runs(y)[:-1]
+            one = np.repeat(x[first], np.diff(np.append(first, len(y))))
+            left += [own[x[first]], own[one]]
+            right += [y[first] + w * 64, own[x]]
+        pairs = np.unique(np.concatenate(left) * m + np.concatenate(right))
+        root = forest(np.concatenate([pairs // m, np.arange(m)]), np.concatenate([pairs % m, root]), m)
+
+
+def links(sig: np.ndarray, edge: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each row the first row of its run edge[i] .. edge[i + 1] that it is connected with by steps of at most radius."""
+    size = np.diff(edge)
+    short = (size > 1) & (size < BLOCK_FROM)
+    root = forest(*near_pairs(sig, edge[:-1][short], size[short], radius), len(sig))
+    for g in np.flatnonzero(size >= BLOCK_FROM):
+        root[edge[g] : edge[g + 1]] = edge[g] + spanning(sig[edge[g] : edge[g + 1]], radius)
+    return root
+
+
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """For each of n nodes the smallest node that the edges connect it with."""
     root = np.arange(n)
@@ -201,46 +226,49 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return only(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").mapInArrow(run, f"doc_id {kind}, hi long, lo long")
 
 
-def samples(tables: int = TABLES, band: int = BAND) -> np.ndarray:
-    """The bits that each table's key is made of; every bit is used about equally often."""
-    rng = np.random.default_rng(SEED)
-    order = np.concatenate([rng.permutation(BITS) for _ in range(-(-tables * band // BITS))])
-    return order[: tables * band].reshape(tables, band)
+def tables_for(band: int, radius: int = RADIUS) -> int:
+    """Tables with which a pair at a distance of radius is met with RECALL; a nearer one is met with more."""
+    same = np.prod([(BITS - radius - i) / (BITS - i) for i in range(band)])
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-same))
+
+
+def band_for(n: int) -> int:
+    """Bits of a key: more for more signatures, so that the rows of one key stay some hundreds at most but for copies."""
+    return BAND + max(0, math.ceil(math.log2(max(n, 1))) - 24)
 
 
-def edges(nodes: DataFrame, radius: int = RADIUS, tables: int = TABLES, band: int = BAND) -> DataFrame:
+def samples(band: int = BAND, tables: int | None = None) -> np.ndarray:
+    """The bits that each table's key is made of, disjoint within a permutation."""
+    tables = tables or tables_for(band)
+    rng, each = np.random.default_rng(SEED), BITS // band
+    return np.concatenate([rng.permutation(BITS)[: each * band].reshape(each, band) for _ in range(-(-tables // each))])[:tables]
+
+
+def edges(nodes: DataFrame, radius: int = RADIUS, band: int = BAND) -> DataFrame:
     """(a, b), a < b: nodes (node, hi, lo) found within radius of each other, as a spanning forest of each table's key."""
-    pick = samples(tables, band)
+    pick = samples(band, tables_for(band, radius))
 
     def fan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                sig = np.stack([part.column(k).to_numpy() for k in (1, 2)], 1)
+                sig = np.stack([part.column(k).to_numpy() for k in (0, 1)], 1)
                 bits = np.unpackbits(sig.view(np.uint8), axis=1)
                 weights = 1 << np.arange(band, dtype=np.int64)
-                key = np.concatenate([(bits[:, p] @ weights) * tables + t for t, p in enumerate(pick)])
-                again = pa.array(np.tile(np.arange(len(sig)), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *[c.take(again) for c in part.columns]], ["key", "node", "hi", "lo"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        whole = pa.Table.from_batches(held)
-        key = whole.column("key").to_numpy()
-        order = np.lexsort((whole.column("node").to_numpy(), key))
-        key, node = key[order], whole.column("node").to_numpy()[order]
-        sig = np.stack([whole.column(k).to_numpy()[order] for k in ("hi", "lo")], 1).view(np.uint64)
-        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
-        i, j = near_pairs(sig, edge[:-1], np.diff(edge), radius)
-        root = forest(i, j, len(key))
-        at = np.flatnonzero(root != np.arange(len(key)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[root[at]]), pa.array(node[at])], ["a", "b"])
+                key = np.concatenate([(bits[:, p] @ weights) * len(pick) + t for t, p in enumerate(pick)])
+                again = pa.array(np.tile(np.arange(len(sig)), len(pick)))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[c.take(again) for c in part.columns]], ["key", "hi", "lo", "node"])
+
+    def compare(whole: pa.Table) -> pa.Table:
+        node = whole.column("node").to_numpy()
+        sig = np.stack([whole.column(k).to_numpy() for k in ("hi", "lo")], 1).view(np.uint64)
+        root = links(sig, runs(whole.column("key").to_numpy()), radius)
+        at = np.flatnonzero(root != np.arange(len(node)))
+        return pa.Table.from_pydict({"a": pa.array(node[root[at]], whole.column("node").type), "b": pa.array(node[at], whole.column("node").type)})
 
     kind = nodes.schema["node"].dataType.simpleString()
-    fanned = nodes.select("node", "hi", "lo").mapInArrow(fan, f"key long, node {kind}, hi long, lo long")
-    return fanned.repartition("key").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    fanned = nodes.select("hi", "lo", "node").mapInArrow(fan, f"key long, hi long, lo long, node {kind}")
+    return compared(fanned, compare, f"a {kind}, b {kind}").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -248,7 +276,8 @@ def components(pairs: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps until nothing changes; each step's edges are stored in the shared
     folder, so a lost executor costs no more than one step."""
-    e = stored(pairs.where("a <> b"), "edges")
+    spark = pairs.sparkSession
+    e, path = stored_at(pairs.where("a <> b"), "edges")
     before = None
     while True:
         # large star: link larger neighbours to the least of the neighbourhood
@@ -258,7 +287,9 @@ def components(pairs: DataFrame) -> DataFrame:
         # small star: link a node and its smaller neighbours to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(least.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        e = stored(small.where("x <> y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), "edges")
+        e, new = stored_at(small.where("x <> y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), "edges")
+        remove(spark, path)
+        path = new
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a"), F.count_distinct("b")).first())
         if now == before:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root")).distinct()
@@ -272,7 +303,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_c
     node = stored(node, "nodes")
     # of a doc_id that has several texts every signature counts; its node links them
     same = signed.join(node, ["hi", "lo"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    found = components(edges(node, radius).unionByName(same))
+    found = components(edges(node, radius, band_for(node.count())).unionByName(same))
     return found.select(F.col("node").alias("doc_id"), "root").unionByName(found.select(F.col("root").alias("doc_id"), "root").distinct())
 
 

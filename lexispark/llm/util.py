@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,6 +151,11 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - size, size) + np.repeat(first, size)
 
 
+def runs(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers starts, and the end."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+
+
 def sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Sum of each of the consecutive runs whose lengths are in size; 0 for an empty run."""
     out = np.zeros((len(size), *values.shape[1:]), values.dtype)
@@ -159,3 +165,80 @@ def sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
         out[full] = np.add.reduceat(values, first[full], axis=0)
     return out
 
+
+def streamed(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows sorted by their first column, `least` or more at a time, each key's together; and whether they are the rows of one key that has over
+    `most` of them, which come as they are read."""
+    held: list[pa.RecordBatch] = []
+    n, hot = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if hot is not None:
+            same = int(np.searchsorted(key, hot, "right"))
+            if same:
+                yield pa.Table.from_batches([batch.slice(0, same)]), True
+            if same == len(key):
+                continue
+            batch, key, hot = batch.slice(same), key[same:], None
+        held.append(batch)
+        n += len(key)
+        if n < least:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        key = whole.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if last:
+            yield whole.slice(0, last), False
+        rest = whole.slice(last)
+        held, n = rest.to_batches(), len(rest)
+        if n > most:
+            yield rest, True
+            held, n, hot = [], 0, key[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), False
+
+
+def compared(fanned: DataFrame, compare: Callable[[pa.Table], pa.Table], schema: str, least: int = 1 << 17, most: int = 1 << 18) -> DataFrame:
+    """What compare() makes of the rows of each key, in a table in the shared folder.
+
+    fanned has key (a long) first and node last, both without nulls. A task sorts its rows by them and hands on `least` of them or more at a
+    time, whole keys together, so it holds no more than `most` rows of one key. Rows of a key that has more are written as they come;
+    they are then spread over blocks of most / 2, and compare() gets every two blocks, so that all rows of the key meet, in
+    tasks of bounded size."""
+    types = {f.name: f.dataType.simpleString() for f in fanned.schema}
+    names = schema_names(schema)
+    hot_names = [f"hot_{c}" for c in fanned.columns]
+
+    def run(batches: Iterator[pa.RecordBatch], limit: int = most) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        for part, hot in streamed(batches, least, limit):
+            kinds = kinds or {f"hot_{c}": part.schema.field(c).type for c in part.schema.names}
+            if hot:
+                out = pa.Table.from_arrays(part.columns, names=hot_names)
+                for c, t in zip(names, compare(part.slice(0, 0)).schema.types if len(part) else ()):
+                    out = out.append_column(c, pa.nulls(len(part), t))
+                out = out.select([*names, *hot_names])
+            else:
+                out = compare(part)
+                for c in hot_names:
+                    out = out.append_column(c, pa.nulls(len(out), kinds[c]))
+            yield from out.to_batches(1 << 16)
+
+    wide = schema + "".join(f", hot_{c} {t}" for c, t in types.items())
+    found = stored(fanned.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, wide), "compared")
+    hot = found.where("hot_key is not null").select(*[F.col(f"hot_{c}").alias(c) for c in fanned.columns])
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") * 2 / most).cast("int").alias("n")).withColumnRenamed("key", "of_key")
+    if blocks.isEmpty():
+        return found.select(*names)
+    placed = hot.join(F.broadcast(blocks) if blocks.count() < 1 << 16 else blocks, F.col("key") == F.col("of_key")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    again = pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *[c for c in fanned.columns if c != "key"])
+    whole = stored(again.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: run(b, 1 << 40), wide), "compared")
+    return found.where("hot_key is null").select(*names).unionByName(whole.select(*names))
+
+
+def schema_names(schema: str) -> list[str]:
+    """Names of a schema that is a list of plain columns."""
+    return [c.split()[0] for c in schema.split(",")]

@@ -8,6 +8,7 @@ import struct
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -268,10 +269,43 @@ def test_near_pairs_against_brute_force():
         for b in rng.integers(0, 128, rng.integers(10, 40)):
             row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     bits = np.unpackbits(sig.view(np.uint8), axis=1)
-    for start, size in (([0], [120]), ([0, 40], [40, 47])):
-        want = {(i, j) for a, n in zip(start, size) for i in range(a, a + n) for j in range(i + 1, a + n) if (bits[i] != bits[j]).sum() <= simhash.RADIUS}
-        i, j = simhash.near_pairs(sig, np.array(start), np.array(size))
+    for edge in ([0, 120], [0, 40, 87, 120], [0, 10, 11, 40]):
+        want = {(i, j) for a, b in zip(edge, edge[1:]) for i in range(a, b) for j in range(i + 1, b) if (bits[i] != bits[j]).sum() <= simhash.RADIUS}
+        i, j = simhash.near_pairs(sig, np.array(edge[:-1]), np.diff(edge))
         assert set(zip(i.tolist(), j.tolist())) == want and want
+        root = list(range(len(sig)))
+        for _ in root:
+            for i, j in want:
+                root[i] = root[j] = min(root[i], root[j])
+        assert simhash.links(sig[: edge[-1]], np.array(edge)).tolist() == root[: edge[-1]]
+
+
+def test_keys_of_many_rows(spark):
+    """Rows of one key that are too many for a task meet in blocks."""
+    from lexispark.llm import util
+
+    rows = [(k, i * 1000 + k, i) for k, n in ((1, 50), (2, 900), (3, 2), (4, 300)) for i in range(n)]
+
+    def compare(part):
+        from collections import defaultdict
+
+        by = defaultdict(list)
+        for key, node in zip(part.column("key").to_pylist(), part.column("node").to_pylist()):
+            by[key].append(node)
+        assert all(len(x) <= 260 for x in by.values())
+        pairs = [(a, b) for own in by.values() for a in own for b in own if a < b]
+        return pa.Table.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    fanned = spark.createDataFrame([(k, n) for k, n, _ in rows], "key long, node long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        found = {(r.a, r.b) for r in util.compared(fanned, compare, "a long, b long", 64, 200).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(a, b) for k in (1, 2, 3, 4) for a in range(k, 900_000, 1000) for b in range(a + 1000, 900_000, 1000)}
+    nodes = {n for _, n, _ in rows}
+    assert found == {(a, b) for a, b in want if a in nodes and b in nodes}
 
 
 def test_groups_of_copies(spark):
