@@ -6,9 +6,10 @@ neighbours; where they disagree a near block follows a good one, a short one doe
 are good or near it. The end of the page counts as bad.
 
 A null page gives null text and no blocks; an empty page, or one with only markup, gives empty text. Unclosed
-comments, scripts and tags end with the page; "<" that opens no tag is text. Cost is linear in the page's
-length, whatever its size. Rows are independent: repeated pages give repeated results. Other columns
-of the input are not read.
+comments, titles and scripts end with the page, a head without its end tag where its last element ends; "<" that opens no tag is
+text, ">" in a quoted attribute ends no tag. Cost is linear in the page's length, and whole pages are read, whatever their size. Rows are
+independent: repeated pages give repeated results, a null page_id is carried along; an empty table gives no rows. Other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ _STOP = {
 STOP_WORDS = {k: frozenset(v.split()) for k, v in _STOP.items()}
 ALL_STOP_WORDS = frozenset().union(*STOP_WORDS.values())
 
-_BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+_BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|title|textarea|iframe)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*>|<[!?][^<>]*>", re.S | re.I)
+#: A tag from its name on: quoted values may hold any sign. Nothing is tried twice, so that cost stays linear.
+_REST = r"""\b(?:[^<>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+>"""
+_PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|textarea|iframe){_REST}.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*+){_REST}|<[!?][^<>]*>", re.S | re.I)
 _LANG = re.compile(r"<html\b[^<>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
 _TOKEN = re.compile(r"\w+")
 

@@ -7,8 +7,8 @@ rest of each, if any, is packed like a document.
 
 A length is the UTF-8 bytes of a text plus one separator, which is what a byte-level model sees. A null or
 empty text has length 0, needs no room and goes into no bin. Ties go to the smaller doc_id, then piece; null doc_ids
-come first. Repeated rows are packed as often as they occur. An empty table gives no bins. Other
-columns of the input are not read, and only ids and lengths are shuffled.
+come first. Repeated rows are packed as often as they occur, spread over the shards. An empty table gives no bins. Texts of any length
+count whole. Other columns of the input are not read, and only ids and lengths are shuffled.
 """
 
 from __future__ import annotations
@@ -90,7 +90,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int =
         raise ValueError("capacity and shard_rows are at least 1")
     rows = only(docs, doc_id=id_col, text=text_col).select("doc_id", F.when(F.octet_length("text") > 0, F.octet_length("text").cast("long") + 1).otherwise(F.lit(0).cast("long")).alias("n"))
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.where("n > 0").select(F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "n")
+    # equal rows are numbered by counting them, so that they spread over the shards like others
+    rows = rows.where("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("times")).select("doc_id", "n", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "n", "nth"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "n").repartition(shards, "shard")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "n"], na_position="first", kind="stable")

@@ -14,7 +14,8 @@ give gradients; the threshold is set on the others. Scoring covers all windows o
 Null and empty texts and those without letters or digits have no windows, a null score, and are not toxic. Equal texts
 get equal scores, repeated rows repeated results; a null doc_id is carried along. Label rows without a document, or with a null,
 are not used. Without toxic or without clean examples nothing can be learned: scores are null and no row is
-toxic. Other columns are not read, or in reject() passed through untouched.
+toxic. An empty table gives no rows. Whole texts are read, some 15 bytes a character being held, and 100 a character of a single word. Other
+columns are not read, or in reject() passed through untouched.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ BITS, DIM, HIDDEN, ORDERS, BEGINNINGS = 15, 12, 12, (3, 4, 5), (6, 7, 8, 9, 10)
 WARM, EPOCHS, BATCH, RATE, SEED = 6, 14, 192, 0.02, 7
 #: Gradient steps at least: few labelled rows are gone through more often.
 LEAST_STEPS = 300
+#: Windows of a document that give gradients in an epoch: of a toxic one at first by chance and then the highest scored, and of a clean one. A
+#: bound on the fit alone; other windows take their turn in other epochs, and scoring covers all.
+PER_DOCUMENT = (4, 2, 3)
 #: Windows that are scored at once.
 LANES = 1024
 
@@ -252,8 +256,8 @@ class Model(NamedTuple):
     threshold: float  # on log-odds
 
 
-def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS) -> Model | None:
-    """None where a class has no text with words."""
+def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS, per_document: tuple[int, int, int] = PER_DOCUMENT) -> Model | None:
+    """None where a class has no text with words. All windows of all texts compete for a place in each epoch."""
     w, y, rng = read(texts), np.asarray(labels, np.int64), np.random.default_rng(seed)
     has = np.bincount(w.doc, minlength=len(y)) > 0
     if not (has & (y == 1)).any() or not (has & (y == 0)).any():
@@ -264,7 +268,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
         held[own[: len(own) // 5]] = True
     fit_windows = np.flatnonzero(~held[w.doc])
     p, cache, logits = new_parameters(rng), {}, None
-    per = max(1, sum(min(n, 3) for n in np.bincount(w.doc[fit_windows], minlength=1).tolist()) // BATCH)
+    per = max(1, sum(min(n, per_document[2]) for n in np.bincount(w.doc[fit_windows], minlength=1).tolist()) // BATCH)
     epochs = max(epochs, min(-(-LEAST_STEPS // per), 20 * epochs))
     warm, again, step = epochs * WARM // EPOCHS, max(4, epochs // 6), 0
     for epoch in range(epochs):
@@ -278,7 +282,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
         first = np.flatnonzero(np.diff(doc, prepend=-1))
         rank = np.arange(len(doc)) - np.repeat(first, np.diff(first, append=len(doc)))
         toxic = y[doc] == 1
-        pick = rng.permutation(order[np.where(toxic, rank < (4 if epoch < warm else 2), rank < 3)])
+        pick = rng.permutation(order[np.where(toxic, rank < per_document[0 if epoch < warm else 1], rank < per_document[2])])
         target = y[w.doc[pick]].astype(np.float32)
         share = np.array([0.5 / max((target == c).mean(), 1e-6) for c in (0, 1)], np.float32)
         for i in range(0, len(pick), BATCH):

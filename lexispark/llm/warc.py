@@ -8,15 +8,17 @@ written under a name of the attempt and renamed once whole, so that a task which
 leaves the same result.
 
 Files of one member a record, of several records a member, and without compression are read alike. An
-empty file gives an empty one. Where a stream ends early, is damaged or a header is malformed, the whole records before that place
-are kept and `status` says what happened; the rest is not guessed at. Repeated records stay repeated; records without an
-id or URI have nulls. A null path gives no row.
+empty file gives an empty one, an empty table no rows. Where a stream ends early or is damaged, the whole records before that place are kept and
+`status` says what happened. Headers and contents may have any length. What is no record (a line that begins none, a header without the
+content's length) is passed over up to the next line that is a record's first, and status says "malformed". Repeated records stay repeated;
+records without an id or URI have nulls. A null path gives no row.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .util import only, shared_dir
 
-READ, MAX_HEADER, LEVEL = 1 << 18, 1 << 20, 6
+READ, LEVEL = 1 << 18, 6
 INDEX_SCHEMA = "file string, offset long, length long, type string, id string, uri string, date string, content_length long"
 
 
@@ -79,14 +81,17 @@ class Inflated:
 
     def line(self) -> bytes | None:
         """Up to and with the next newline; None where the stream ends before it."""
-        scanned = 0
-        while (end := self.buffer.find(b"\n", self.at + scanned)) < 0:
-            scanned = len(self.buffer) - self.at
-            if scanned > MAX_HEADER or not self._more():
+        parts: list[bytes] = []
+        while (end := self.buffer.find(b"\n", self.at)) < 0:
+            parts.append(self.buffer[self.at :])
+            self.at = len(self.buffer)
+            if not self._more():
+                self.buffer, self.at = b"".join(parts), 0  # as it was, for what comes after
+                self.at = len(self.buffer)
                 return None
-        out = self.buffer[self.at : end + 1]
+        parts.append(self.buffer[self.at : end + 1])
         self.at = end + 1
-        return out
+        return b"".join(parts)
 
     def take(self, n: int) -> Iterator[bytes]:
         """The next n bytes in pieces; fewer where the stream ends."""
@@ -102,26 +107,27 @@ class Inflated:
         return self.at == len(self.buffer) and not self._more()
 
 
-def header(source: Inflated) -> tuple[bytes, dict[str, str]] | str | None:
-    """A record's header as it is written and its fields by lower-case name; None at the end, a text for a fault."""
+def header(source: Inflated) -> tuple[bytes, dict[str, str], bool] | str | None:
+    """A record's header as it is written, its fields by lower-case name, and whether anything was passed over before it; None at the end, a
+    text for a fault. Headers may have any length."""
+    skipped = False
     while True:  # blank lines between records
         if source.over():
-            return source.fault or None
+            return source.fault or ("malformed" if skipped else None)
         line = source.line()
         if line is None:
             return source.fault or "malformed"
-        if line.strip():
+        if _BEGIN.match(line):
             break
-    if not line.startswith(b"WARC/"):
-        return "malformed"
+        skipped = skipped or bool(line.strip())
     raw, fields, name = [line], {}, ""
     while True:
         line = source.line()
-        if line is None or sum(map(len, raw)) > MAX_HEADER:
+        if line is None:
             return source.fault or "malformed"
         raw.append(line)
         if not line.strip():
-            return b"".join(raw), fields
+            return b"".join(raw), fields, skipped
         text = line.decode("utf-8", "replace")
         if text[0] in " \t" and name:
             fields[name] += " " + text.strip()
@@ -131,26 +137,33 @@ def header(source: Inflated) -> tuple[bytes, dict[str, str]] | str | None:
             fields[name] = value.strip()
 
 
+_BEGIN = re.compile(rb"WARC/\d+\.\d+\s*$")
+
+
 def normalise_stream(raw: IO[bytes], out: IO[bytes], level: int = LEVEL) -> tuple[list[dict], str]:
     """Writes every record of raw to out as a member; the index's rows, and "ok" or what went wrong."""
-    source, rows, offset = Inflated(raw), [], 0
+    source, rows, offset, status = Inflated(raw), [], 0, "ok"
     while True:
         got = header(source)
         if got is None or isinstance(got, str):
-            return rows, got or "ok"
-        head, fields = got
+            return rows, got or status
+        head, fields, skipped = got
         size = fields.get("content-length", "")
+        if skipped:
+            status = "malformed"
         if not size.isdecimal():
-            return rows, "malformed"
+            status = "malformed"  # its end is not known: what follows is passed over up to the next record's first line
+            continue
         z = zlib.compressobj(level, zlib.DEFLATED, 31)
         # a small record is held until it is whole; what is written of a large one that breaks off is cut away by its caller
-        begun, left, length, held = offset, int(size), 0, [z.compress(head)]
+        begun, left, length, held, n = offset, int(size), 0, [z.compress(head)], 0
         for piece in source.take(left):
             left -= len(piece)
             held.append(z.compress(piece))
-            if sum(map(len, held)) > READ:
+            n += len(held[-1])
+            if n > READ:
                 length += out.write(b"".join(held))
-                held = []
+                held, n = [], 0
         if left:
             return rows, (source.fault or "truncated") + (f" {begun}" if length else "")
         held.append(z.compress(b"\r\n\r\n") + z.flush())
@@ -279,6 +292,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     made = stored(write_monolithic(pages, shared_dir(spark, "monolithic"), id_col, url_col, html_col), "made")
     done = stored(normalise(made, shared_dir(spark, "normalised")), "normalised-files")
+    if bad := done.where("status <> 'ok'").select("path", "status").first():
+        raise RuntimeError(f"{bad.path}: {bad.status}")
     found = fetch(index(spark, done.repartition(max(1, done.count()), "file")).select("file", "offset", "length", "id", "uri"))
     key = F.regexp_extract("id", "^<page:(.*)>$", 1)
     kind = pages.schema[id_col].dataType.simpleString()
