@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .util import STEP_CHARS, codes, only, shared_dir, steps, stored, sums
+from .util import STEP_CHARS, codes, free, only, shared_dir, steps, stored, sums
 
 ORDER, START, END = 5, "\x02", "\x03"
 #: Scaled median absolute deviations that a document may lie below and above its language's median. Set on the labelled rows of sf0.1: the
@@ -299,7 +299,7 @@ def reject(docs: DataFrame, model: str, low: float = LOW, high: float = HIGH, te
     Rows are written once with their loss beside them, and read again when the bands are known: each text is scored once, and nothing is
     joined by an id, so that null and repeated ids make no difference."""
     names = docs.columns
-    loss, n_chars = (next(x for x in (f"{base}{k}" for k in range(len(names) + 1)) if x.lower() not in {c.lower() for c in names}) for base in ("loss_", "n_chars_"))
+    loss, n_chars = free(docs, "loss"), free(docs, "n_chars_of_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
@@ -311,12 +311,12 @@ def reject(docs: DataFrame, model: str, low: float = LOW, high: float = HIGH, te
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(own, mask=np.isnan(own)), size], [*names, loss, n_chars])
 
-    given = docs.select("*", F.col(f"`{text_col}`").alias("text_"), F.col(f"`{lang_col}`").cast("string").alias("lang_"))
+    given = docs.select("*", F.col(f"`{text_col}`").alias(free(docs, "text_read")), F.col(f"`{lang_col}`").cast("string").alias(free(docs, "lang_read")))
     schema = StructType([*docs.schema.fields, StructField(loss, DoubleType()), StructField(n_chars, LongType())])
     rows = stored(given.mapInArrow(run, schema), "scored")
     scores = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(n_chars).alias("n_chars"), F.col(loss).alias("loss"))
     limits = F.broadcast(bands(scores))  # a row a language
-    of = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
+    of = F.coalesce(F.col(f"r.`{lang_col}`").cast("string"), F.lit(""))
     found = rows.alias("r").join(limits.alias("b"), of == F.col("b.band_lang"), "left")
     lower, upper = ends(F.col("b.median"), F.col("b.deviation"), F.col(f"r.{n_chars}"), low, high)
     keep = F.coalesce(F.exp(F.col(f"r.{loss}")).between(lower, upper), F.lit(True))

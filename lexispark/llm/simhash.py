@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import compared, mix, only, remove, runs, steps, stored, stored_at, sums, words
+from .util import compared, free, mix, only, remove, runs, steps, stored, stored_at, sums, words
 
 BITS, RADIUS, BAND, RECALL, SEED = 128, 28, 16, 0.93, 20240229
 #: Rows of a key from which they are compared as blocks rather than by offset, and rows and words of 64 lanes of a block.
@@ -310,22 +310,22 @@ def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_c
 def deduplicate(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows of a group other than its smallest doc_id, and without repeated rows of a doc_id that has a text."""
     found = stored(groups(docs, radius, id_col, text_col), "groups")
-    gone = found.where("doc_id <> root").select(F.col("doc_id").alias("__gone")).distinct()
+    mark = free(docs, "marked")
+    gone = found.where("doc_id <> root").select(F.col("doc_id").alias(mark)).distinct()
     n = gone.count()
     side = F.broadcast(gone) if n <= BROADCAST_ROWS else gone
-    kept = docs.join(side, docs[id_col] == F.col("__gone"), "left_anti")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again")
+    kept = docs.join(side, docs[id_col] == F.col(mark), "left_anti")
+    again = only(docs, doc_id=id_col).where("doc_id is not null").groupBy(F.col("doc_id").alias(mark)).agg(F.count("*").alias("n")).where("n > 1").select(mark)
     again = stored(again, "repeated")
     if (m := again.count()) == 0:
         return kept
     side = F.broadcast(again) if m <= BROADCAST_ROWS else again
-    once = kept.join(side, kept[id_col] == F.col("__again"), "left_anti")
-    several = kept.join(side, kept[id_col] == F.col("__again"), "left_semi")
+    once = kept.join(side, kept[id_col] == F.col(mark), "left_anti")
+    several = kept.join(side, kept[id_col] == F.col(mark), "left_semi")
     return once.unionByName(first_of(several, id_col, text_col))
 
 
 def first_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each id: the first by text (nulls last)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    best = df.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(row, F.struct(F.col(text_col).isNull(), F.col(text_col))).alias("__row"))
-    return best.select("__row.*")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.groupBy("id").agg(F.min_by("row", F.struct(F.col("text").isNull(), F.col("text"))).alias("row")).select("row.*")

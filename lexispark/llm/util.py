@@ -66,6 +66,14 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{v}`").alias(k) for k, v in columns.items()])
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def steps(texts: list[str | None] | list[int | None], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts (or their lengths) that hold about the same number of characters, at most `most` unless one text is longer."""
     start, n = 0, 0
