@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,15 +155,45 @@ def index_documents(documents: DataFrame, length_mode: str = "exact", doc_boost:
     lengths = parts.groupBy("field", "doc_id").agg(F.first("n").alias("n")).select("field", "doc_id", scoring.norm_byte(F.col("n"), doc_boost).alias("norm_byte"), length.cast("int").alias("field_len"))
     docs = documents.select("doc_id", stored_map(F.col("fields")).alias("stored"))
     total = documents.agg(F.count("*").alias("total_docs"))
-    seen = documents.select("doc_id", F.posexplode("fields").alias("nth", "f")).groupBy(F.col("f.name").alias("field")).agg(F.min(F.struct("doc_id", "nth")).alias("first"), F.max(F.col("f.kind") != STORED).alias("indexed"))
     sums = lengths.groupBy("field").agg(F.sum("field_len").alias("s"), F.count("*").alias("c"))
-    stats = seen.join(sums, "field", "left").crossJoin(total)
+    stats = statistics(fields_seen(documents), sums, total, quantized)
+    return Index(postings, dictionary, lengths, stats, docs)
+
+
+ENTRY = "field string, term string, positions array<int>, n int"
+
+
+def analysed(documents: DataFrame) -> DataFrame:
+    """fields with what the index needs of them: entries (field, term, positions, n), inverted within the document, and lens (field, n).
+
+    n is the number of terms in the field's last occurrence. To be written once and read by all tables: nothing is analysed again."""
+    tokens = F.transform("fields", lambda f: F.struct(f["name"].alias("field"), f["kind"].alias("kind"), tokens_of(f).alias("tokens")))
+    rows = documents.select("fields", F.filter(tokens, lambda f: F.size(f["tokens"]) > 0).alias("fs"))
+    at = F.flatten(F.transform("fs", lambda f: F.transform(f["tokens"], lambda t, i: F.struct(f["field"].alias("field"), t.alias("term"), F.when(f["kind"] == KEYWORD, F.lit(0)).otherwise(i + 1).cast("int").alias("at")))))
+    last = F.filter("fs", lambda f, i: ~F.exists(F.slice("fs", i + 2, F.greatest(F.size("fs"), F.lit(1))), lambda g: g["field"] == f["field"]))
+    lens = F.transform(last, lambda f: F.struct(f["field"].alias("field"), F.size(f["tokens"]).alias("n")))
+    rows = rows.select("fields", F.sort_array(at).alias("s"), lens.alias("lens"))
+    # where a term's places begin in the sorted list
+    begin = F.expr("filter(sequence(1, size(s)), i -> i = 1 or s[i - 1].term <> s[i - 2].term or s[i - 1].field <> s[i - 2].field)")
+    rows = rows.select("fields", "s", "lens", F.when(F.size("s") > 0, begin).otherwise(F.array().cast("array<int>")).alias("b"))
+    entry = "transform(b, (x, k) -> struct(s[x - 1].field as field, s[x - 1].term as term, transform(slice(s, x, coalesce(get(b, k + 1), size(s) + 1) - x), y -> y.at) as positions, element_at(filter(lens, l -> l.field = s[x - 1].field), 1).n as n))"
+    return rows.select("fields", F.expr(entry).alias("entries"), "lens")
+
+
+def statistics(seen: DataFrame, sums: DataFrame, total: DataFrame | int, quantized: bool) -> DataFrame:
+    """field_stats from (field, first, indexed), (field, s, c) with summed lengths and documents, and the number of all documents."""
+    stats = seen.join(sums, "field", "left")
+    stats = stats.withColumn("total_docs", F.lit(total).cast("long")) if isinstance(total, int) else stats.crossJoin(total)
     absent = F.col("total_docs") - F.coalesce("c", F.lit(0)) if quantized else F.lit(0)
     mean = (F.coalesce("s", F.lit(0)) + absent) / F.col("total_docs")
     # fields are numbered as they are first met; there are few of them
     ordinal = F.expr("row_number() over (order by first)") - 1
-    stats = stats.select("field", ordinal.cast("int").alias("ordinal"), "indexed", "total_docs", F.when(F.col("indexed"), F.when(mean > 0, mean).otherwise(F.lit(1.0))).alias("avg_len"))
-    return Index(postings, dictionary, lengths, stats, docs)
+    return stats.select("field", ordinal.cast("int").alias("ordinal"), "indexed", "total_docs", F.when(F.col("indexed"), F.when(mean > 0, mean).otherwise(F.lit(1.0))).alias("avg_len"))
+
+
+def fields_seen(documents: DataFrame) -> DataFrame:
+    """(field, first, indexed) of every field of (doc_id, fields)."""
+    return documents.select("doc_id", F.posexplode("fields").alias("nth", "f")).groupBy(F.col("f.name").alias("field")).agg(F.min(F.struct("doc_id", "nth")).alias("first"), F.max(F.col("f.kind") != STORED).alias("indexed"))
 
 
 def stored_map(fields: Column) -> Column:
@@ -174,20 +203,6 @@ def stored_map(fields: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda f: F.struct(f["name"].alias("key"), f["value"].alias("value"))))
 
 
-def union(indexes: list[Index]) -> Index:
-    """Several indexes over disjoint doc_ids as one, with the statistics of all their documents."""
-    tables = {t: reduce(DataFrame.unionByName, [getattr(i, t) for i in indexes]) for t in ("postings", "lengths", "docs")}
-    dictionary = reduce(DataFrame.unionByName, [i.dictionary for i in indexes]).groupBy("field", "term").agg(F.sum("doc_freq").alias("doc_freq"))
-    sides = [i.field_stats.withColumn("part", F.lit(k)) for k, i in enumerate(indexes)]
-    stats = reduce(DataFrame.unionByName, sides)
-    sizes = stats.groupBy("part").agg(F.max("total_docs").alias("n")).agg(F.sum("n").alias("total"))
-    own = stats.groupBy("field").agg(F.min(F.struct("part", "ordinal")).alias("first"), F.max("indexed").alias("indexed"), F.sum(F.col("avg_len") * F.col("total_docs")).alias("s"), F.sum(F.when(F.col("avg_len").isNotNull(), F.col("total_docs"))).alias("c"))
-    # a part without the field counts as documents of length 1
-    mean = (F.coalesce("s", F.lit(0.0)) + F.col("total") - F.coalesce("c", F.lit(0))) / F.col("total")
-    stats = own.crossJoin(sizes).select("field", (F.expr("row_number() over (order by first)") - 1).cast("int").alias("ordinal"), "indexed", F.col("total").alias("total_docs"), F.when(F.col("indexed"), mean).alias("avg_len"))
-    return Index(tables["postings"], dictionary, tables["lengths"], stats, tables["docs"])
-
-
 def parse_documents(df: DataFrame, json_col: str = "json") -> DataFrame:
     """`fields` from documents as JSON, {"fields": [{"name", "value", "kind", "stored"}]}; an unknown kind or bad JSON fails the job.
 
