@@ -28,32 +28,54 @@ def _request(request: str | Mapping[str, Any]) -> Mapping[str, Any]:
     return found
 
 
-def _limit(n: int | None) -> int | None:
-    """0 and nothing mean all."""
-    if n is not None and (isinstance(n, bool) or not isinstance(n, int) or n < 0):
-        raise QueryError("a limit is a number from 0 on")
-    return n or None
+def _is(value: Any, kind: type, what: str) -> Any:
+    """value, if it is of that JSON type; a whole number also counts as a number, true and false as neither."""
+    kinds = (int, float) if kind is float else kind
+    if not isinstance(value, kinds) or (isinstance(value, bool) and kind is not bool):
+        raise QueryError(f"{what} is no {kind.__name__}")
+    return float(value) if kind is float else value
+
+
+def _get(r: Mapping[str, Any], name: str, kind: type, default: Any = None) -> Any:
+    """An optional value: null and nothing mean the default."""
+    return default if r.get(name) is None else _is(r[name], kind, name)
+
+
+def _count(r: Mapping[str, Any], name: str, default: int | None = None) -> int | None:
+    n = _get(r, name, int, default)
+    if n is not None and n < 0:
+        raise QueryError(f"{name} is below 0")
+    return n
+
+
+def _strings(values: Any, what: str) -> list[str]:
+    return [_is(v, str, what) for v in _is(values, list, what)]
+
+
+def _objects(r: Mapping[str, Any], name: str) -> list[Mapping[str, Any]]:
+    return [_is(x, Mapping, name) for x in _get(r, name, list, [])]
+
+
+def _weights(r: Mapping[str, Any]) -> dict[str, float]:
+    return {k: _is(v, float, "a field weight") for k, v in _get(r, "field_weights", Mapping, {}).items()}
 
 
 def parse_search(request: str | Mapping[str, Any]) -> QueryParams:
-    """QueryError for what is no request; every where group needs its occur."""
+    """QueryError for what is no request: types are those of JSON, without conversions. Every where group needs its occur."""
     r = _request(request)
     try:
-        text = r.get("text", "")
-        if not isinstance(text, str):
-            raise TypeError("text is a string")
         return QueryParams(
-            text=text,
-            where=[Where(w["field"], list(w["values"]), w["occur"]) for w in r.get("where") or ()],
-            in_=[In(i["field"], list(i["values"])) for i in r.get("in") or ()],
-            similarity=Similarity.parse(r.get("similarity")),
-            field_weights={k: float(v) for k, v in (r.get("field_weights") or {}).items()},
-            min_score=float(r.get("min_score") or 0.0),
-            limit=_limit(r.get("limit")),
-            accent_insensitive=bool(r.get("accent_insensitive", False)),
+            text=_get(r, "text", str, ""),
+            where=[Where(_is(w["field"], str, "field"), _strings(w["values"], "values"), _is(w["occur"], str, "occur")) for w in _objects(r, "where")],
+            in_=[In(_is(i["field"], str, "field"), _strings(i["values"], "values")) for i in _objects(r, "in")],
+            similarity=Similarity.parse(_get(r, "similarity", str)),
+            field_weights=_weights(r),
+            min_score=_get(r, "min_score", float, 0.0),
+            limit=_count(r, "limit") or None,
+            accent_insensitive=_get(r, "accent_insensitive", bool, False),
         )
-    except (KeyError, TypeError, AttributeError) as e:
-        raise QueryError(f"bad request: {e!r}") from e
+    except KeyError as e:
+        raise QueryError(f"bad request: {e} is missing") from e
     except ValueError as e:
         raise QueryError(str(e)) from e
 
@@ -63,24 +85,24 @@ def parse_mlt(request: str | Mapping[str, Any]) -> tuple[str, str, mlt.MltParams
     r = _request(request)
     try:
         p = mlt.MltParams(
-            fields=list(r.get("fields") or ()),
-            min_term_freq=int(r.get("min_term_freq", 2)),
-            max_query_terms=int(r.get("max_query_terms", 25)),
-            min_doc_freq=int(r.get("min_doc_freq", 5)),
-            max_doc_freq=r.get("max_doc_freq"),
-            posting_budget=r.get("posting_budget"),
+            fields=_strings(r.get("fields", []), "fields"),
+            min_term_freq=_count(r, "min_term_freq", 2),
+            max_query_terms=_count(r, "max_query_terms", 25),
+            min_doc_freq=_count(r, "min_doc_freq", 5),
+            max_doc_freq=_count(r, "max_doc_freq"),
+            posting_budget=_count(r, "posting_budget"),
             min_should_match=mlt.MinShouldMatch.parse(r.get("min_should_match")),
-            term_filters=[(f["field"], f["value"]) for f in r.get("term_filters") or ()],
-            range_filters=[mlt.Range(f["field"], f.get("from"), f.get("to")) for f in r.get("range_filters") or ()],
-            field_weights={k: float(v) for k, v in (r.get("field_weights") or {}).items()},
-            min_score=float(r.get("min_score") or 0.0),
-            size=_limit(r.get("size")),
-            timeout_ms=r.get("timeout_ms") or None,
-            source_fields=list(r.get("source_fields") or ()),
+            term_filters=[(_is(f["field"], str, "field"), _is(f["value"], str, "value")) for f in _objects(r, "term_filters")],
+            range_filters=[mlt.Range(_is(f["field"], str, "field"), _get(f, "from", float), _get(f, "to", float)) for f in _objects(r, "range_filters")],
+            field_weights=_weights(r),
+            min_score=_get(r, "min_score", float, 0.0),
+            size=_count(r, "size") or None,
+            timeout_ms=_count(r, "timeout_ms") or None,
+            source_fields=_strings(r.get("source_fields") or [], "source_fields"),
         )
-        return r["id_field"], r["id_value"], p
-    except (KeyError, TypeError, AttributeError, ValueError) as e:
-        raise QueryError(f"bad request: {e!r}") from e
+        return _is(r["id_field"], str, "id_field"), _is(r["id_value"], str, "id_value"), p
+    except KeyError as e:
+        raise QueryError(f"bad request: {e} is missing") from e
 
 
 def to_json(hits: DataFrame) -> str:

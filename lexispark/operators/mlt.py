@@ -81,7 +81,7 @@ def resolve(index: Index, id_field: str, value: str) -> int | None:
 
 def select_terms(index: Index, doc_id: int, p: MltParams) -> DataFrame:
     """(field, term, tf, doc_freq, weight, nth) of the terms that are worth asking for, best first."""
-    stored = index.docs.where(F.col("doc_id") == doc_id).select(F.explode("stored").alias("field", "value")).where(F.col("field").isin(*p.fields))
+    stored = index.docs_by_id([doc_id]).select(F.explode("stored").alias("field", "value")).where(F.col("field").isin(*p.fields))
     tf = stored.select("field", F.explode(analysis.analyze("value")).alias("term")).groupBy("field", "term").agg(F.count("*").alias("tf")).where(F.col("tf") >= p.min_term_freq)
     d = index.dictionary.select(F.col("field").alias("d_field"), F.col("term").alias("d_term"), "doc_freq")
     # one document's terms

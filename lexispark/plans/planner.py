@@ -16,8 +16,8 @@ from lexispark.operators.leaves import leaf_scores
 from lexispark.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Query, QueryParams, build_query
 from lexispark.sources.index import Index
 
-#: Hits up to which the top list is broadcast to fetch stored fields.
-BROADCAST_HITS = 100_000
+#: Hits up to which a top list passes through the driver to fetch stored fields by id.
+FETCHED = 1000
 HITS = "doc_id long, score double"
 
 
@@ -87,13 +87,19 @@ def ranked(hits: DataFrame, min_score: float = 0.0, limit: int | None = None, no
 
 
 def hydrated(index: Index, hits: DataFrame, limit: int | None = None, source_fields: list[str] | None = None) -> DataFrame:
-    """(id, score, fields) with the stored fields of the hits alone."""
-    side = F.broadcast(hits) if limit is not None and limit <= BROADCAST_HITS else hits
+    """(id, score, fields) with the stored fields of the hits alone.
+
+    At most FETCHED hits are found first, and their documents looked up by id; more, or all of them, are joined."""
     stored = F.coalesce(F.col("stored"), F.create_map().cast("map<string,string>"))
     if source_fields:
         stored = F.map_filter(stored, lambda k, _: k.isin(*source_fields))
-    docs = index.docs.withColumnRenamed("doc_id", "stored_id")
-    joined = docs.join(side, F.col("stored_id") == F.col("doc_id"), "right")
+    docs = index.docs
+    if limit is not None and limit <= FETCHED:
+        rows = hits.collect()
+        hits = F.broadcast(index.spark.createDataFrame([(r.doc_id, r.score) for r in rows], HITS).coalesce(1))
+        docs = index.docs_by_id([r.doc_id for r in rows]) if rows else docs.where(F.lit(False))
+    docs = docs.withColumnRenamed("doc_id", "stored_id")
+    joined = docs.join(hits, F.col("stored_id") == F.col("doc_id"), "right")
     return joined.select(F.col("doc_id").alias("id"), "score", stored.alias("fields")).orderBy(F.desc("score"), F.asc("id"))
 
 

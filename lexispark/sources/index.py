@@ -8,7 +8,7 @@ docs(doc_id, stored). Field lengths are repeated in postings, so that scoring ne
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,8 +81,12 @@ class Index:
     def positions_for(self, field: str, term: str) -> DataFrame:
         return self.postings.where((F.col("field") == field) & (F.col("term") == term)).select("doc_id", "positions").orderBy("doc_id")
 
+    def docs_by_id(self, ids: Collection[int]) -> DataFrame:
+        """Rows of docs with one of some ids, which the scan looks for in its row groups."""
+        return self.docs.where(F.col("doc_id").isin(*sorted(ids)))
+
     def stored_fields(self, doc_id: int) -> dict[str, str]:
-        row = self.docs.where(F.col("doc_id") == doc_id).select("stored").first()
+        row = self.docs_by_id([doc_id]).select("stored").first()
         return dict(row[0]) if row else {}
 
     def cache(self) -> Index:
@@ -169,14 +173,15 @@ def analysed(documents: DataFrame) -> DataFrame:
     n is the number of terms in the field's last occurrence. To be written once and read by all tables: nothing is analysed again."""
     tokens = F.transform("fields", lambda f: F.struct(f["name"].alias("field"), f["kind"].alias("kind"), tokens_of(f).alias("tokens")))
     rows = documents.select("fields", F.filter(tokens, lambda f: F.size(f["tokens"]) > 0).alias("fs"))
-    at = F.flatten(F.transform("fs", lambda f: F.transform(f["tokens"], lambda t, i: F.struct(f["field"].alias("field"), t.alias("term"), F.when(f["kind"] == KEYWORD, F.lit(0)).otherwise(i + 1).cast("int").alias("at")))))
-    last = F.filter("fs", lambda f, i: ~F.exists(F.slice("fs", i + 2, F.greatest(F.size("fs"), F.lit(1))), lambda g: g["field"] == f["field"]))
-    lens = F.transform(last, lambda f: F.struct(f["field"].alias("field"), F.size(f["tokens"]).alias("n")))
+    of_last = F.transform("fs", lambda f: F.struct(f.alias("f"), F.size(F.element_at(F.filter("fs", lambda g: g["field"] == f["field"]), -1)["tokens"]).alias("n")))
+    rows = rows.select("fields", of_last.alias("fs"))
+    at = F.flatten(F.transform("fs", lambda x: F.transform(x["f"]["tokens"], lambda t, i: F.struct(x["f"]["field"].alias("field"), t.alias("term"), F.when(x["f"]["kind"] == KEYWORD, F.lit(0)).otherwise(i + 1).cast("int").alias("at"), x["n"].alias("n")))))
+    lens = F.array_distinct(F.transform("fs", lambda x: F.struct(x["f"]["field"].alias("field"), x["n"].alias("n"))))
     rows = rows.select("fields", F.sort_array(at).alias("s"), lens.alias("lens"))
     # where a term's places begin in the sorted list
     begin = F.expr("filter(sequence(1, size(s)), i -> i = 1 or s[i - 1].term <> s[i - 2].term or s[i - 1].field <> s[i - 2].field)")
     rows = rows.select("fields", "s", "lens", F.when(F.size("s") > 0, begin).otherwise(F.array().cast("array<int>")).alias("b"))
-    entry = "transform(b, (x, k) -> struct(s[x - 1].field as field, s[x - 1].term as term, transform(slice(s, x, coalesce(get(b, k + 1), size(s) + 1) - x), y -> y.at) as positions, element_at(filter(lens, l -> l.field = s[x - 1].field), 1).n as n))"
+    entry = "transform(b, (x, k) -> struct(s[x - 1].field as field, s[x - 1].term as term, transform(slice(s, x, coalesce(get(b, k + 1), size(s) + 1) - x), y -> y.at) as positions, s[x - 1].n as n))"
     return rows.select("fields", F.expr(entry).alias("entries"), "lens")
 
 
