@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.api import SearchEngine
@@ -16,8 +16,8 @@ from lexispark.functions.scoring import Similarity
 from lexispark.operators import mlt
 from lexispark.operators.leaves import wildcard_terms
 from lexispark.plans.planner import evaluate, hydrated, search, search_params
-from lexispark.plans.query import MUST, MUST_NOT, SHOULD, AccentTerm, Boolean, Fuzzy, In, MultiTerm, Phrase, Query, QueryParams, Term, Where, Wildcard, text_query
-from lexispark.sources.index import FieldSpec, Index, as_documents, build_index, index_documents, parse_documents
+from lexispark.plans.query import MUST, MUST_NOT, SHOULD, AccentTerm, Boolean, Fuzzy, In, MultiTerm, Phrase, Query, QueryParams, Term, Where, Wildcard
+from lexispark.sources.index import FieldSpec, Index, as_documents, build_index, index_documents, parse_documents, read_json_batch
 from lexispark.sources.store import Store
 from lexispark.sources.writer import IndexWriter
 from lexispark.streaming.ingest import ingest
@@ -41,9 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; a temporary one where that is unset, as in tests."""
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/lexispark-{uuid.uuid4().hex}"
+    """A new folder below the one that spark.checkpoint.dir names; a temporary one where that is unset on a single machine."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "").removeprefix("file://")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.removeprefix('file:').rstrip('/')}/lexispark-{uuid.uuid4().hex}"
 
 
 DOCUMENT_SPECS = [FieldSpec("text"), FieldSpec("lang_key", "lang", "keyword"), FieldSpec("source_key", "source", "keyword"), FieldSpec("n_chars_key", "n_chars", "keyword")]
@@ -76,15 +80,19 @@ s AS (SELECT 'text' AS field, CAST(sum(len(regexp_extract_all(text, '{R}'))) AS
 """
 
 
+#: Accent variants by hand: the plain word, then one vowel accented.
+_VARIANTS = {"dé": ["de", "dé"], "más": ["mas", "más"], "de": ["de", "dé"]}
+
+
 def leaf(q: Query) -> str:
     """The postings of a leaf as a condition."""
     own = f"field = '{q.field}' AND " if q.field else ""
     if isinstance(q, (Term, MultiTerm, AccentTerm)):
-        terms = [q.term] if isinstance(q, Term) else q.terms if isinstance(q, MultiTerm) else analysis.accent_variants(q.term)
+        terms = [q.term] if isinstance(q, Term) else q.terms if isinstance(q, MultiTerm) else _VARIANTS[q.term]
         return f"({own}term IN ({', '.join(repr(t) for t in terms)}))"
     if isinstance(q, Wildcard):
         regex = "".join(".*" if c == "*" else "." if c == "?" else c for c in q.pattern)
-        return f"({own}starts_with(term, '{analysis.literal_prefix(q.pattern)}') AND regexp_full_match(term, '{regex}'))"
+        return f"({own}regexp_full_match(term, '{regex}'))"
     assert isinstance(q, Fuzzy)
     prefix, rest = q.term[: q.prefix_len], q.term[q.prefix_len :]
     n, r = len(prefix), len(rest.encode())
@@ -151,14 +159,9 @@ def fold_accents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(analysis.fold_accents("text")).alias("folded"))
 
 
-@query("SELECT doc_id, CAST(levenshtein(substr(text, 1, 40), 'Ça été où añb the') AS BIGINT) AS distance FROM documents")
-def byte_distance(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", analysis.levenshtein_bytes(F.substring("text", 1, 40), F.lit("Ça été où añb the")).cast("long").alias("distance"))
-
-
 @query("SELECT doc_id, CAST(levenshtein(text, 'Ça été où añb the') AS BIGINT) AS distance FROM documents")
-def byte_distance_whole(spark, sf_dir):
-    """byte_distance over whole texts."""
+def byte_distance(spark, sf_dir):
+    """Over whole texts; the other side is short, so the cost is linear."""
     return table(spark, sf_dir, "documents").select("doc_id", analysis.levenshtein_bytes("text", F.lit("Ça été où añb the")).cast("long").alias("distance"))
 
 
@@ -174,7 +177,11 @@ def parsed_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", analysis.to_number(v).alias("number"))
 
 
-@query(f"SELECT doc_id, CAST({scoring.quantized_length_sql('n')} AS BIGINT) AS field_len FROM (SELECT doc_id, len(regexp_extract_all(text, '{R}')) AS n FROM documents) WHERE n > 0")
+#: A norm is 1 / sqrt(n) as the nearest of the values that a byte stands for, the smaller of two equally near ones.
+_NORMS = "norms AS (SELECT pow(2e0, b // 4 - 31) * (1 + (b % 4) / 4e0) AS v FROM (SELECT unnest(range(1, 256)) AS b) AS a)"
+
+
+@query(f"WITH {_NORMS}, c AS (SELECT doc_id, len(regexp_extract_all(text, '{R}')) AS n FROM documents), lens AS (SELECT n, arg_min(v, (abs(v - CAST(CAST(1 AS REAL) / CAST(sqrt(n) AS REAL) AS DOUBLE)), v)) AS v FROM (SELECT DISTINCT n FROM c WHERE n > 0) AS d, norms GROUP BY n) SELECT doc_id, greatest(1, CAST(floor(1 / (v * v) + 0.5e0) AS BIGINT)) AS field_len FROM c JOIN lens USING (n)")
 def quantized_lengths(spark, sf_dir):
     return documents(spark, sf_dir, length_mode="quantized").lengths.where("field = 'text'").select("doc_id", F.col("field_len").cast("long").alias("field_len"))
 
@@ -241,7 +248,7 @@ _leaf("term_tfidf", Term("text", "the"), Similarity.TFIDF)
 _leaf("multi_term", MultiTerm("text", ("licensed", "the", "nothing-has-this")))
 _leaf("all_fields_term", Term(None, "en"))
 _leaf("keyword_term", Term("lang_key", "fr"))
-_leaf("accent_term", AccentTerm("text", "más"))
+_leaf("accent_term", AccentTerm("text", "dé"))
 _leaf("wildcard_star", Wildcard("text", "licen*"))
 _leaf("wildcard_question", Wildcard("text", "licen?ed"))
 _leaf("wildcard_inner", Wildcard(None, "th*n?"))
@@ -299,7 +306,15 @@ def _search(name: str, p: QueryParams, q: Query, **sql) -> None:
     query(tree(q, **sql) + end)(run)
 
 
-_text = lambda t, **kw: text_query(QueryParams(text=t, **kw))
+
+
+def _text(text: str, accent_insensitive: bool = False) -> Boolean:
+    """What a text asks for, written out: each word nearly, the whole as a beginning, each word exactly."""
+    words = text.lower().split()
+    exact = AccentTerm if accent_insensitive else Term
+    return Boolean(tuple((SHOULD, q) for q in [*(Fuzzy(None, w) for w in words), Wildcard(None, text.lower() + "*"), *(exact(None, w) for w in words)]))
+
+
 _search("search_text", QueryParams(text="Licensed"), _text("Licensed"))
 _search("search_text_words", QueryParams(text="the license"), _text("the license"))
 _search("search_accents", QueryParams(text="Más de", accent_insensitive=True), _text("Más de", accent_insensitive=True))
@@ -351,25 +366,35 @@ def conversations_phrase(spark, sf_dir):
 # more like this
 
 _MLT = mlt.MltParams(["text"], min_doc_freq=3)
-_SOURCE = 5
+#: The document with most terms that _MLT takes, the first of several: in SQL a subquery on the index.
+_SOURCE = "(SELECT doc_id FROM src)"
+_SRC = ", src AS (SELECT doc_id FROM j WHERE field = 'text' AND tf >= 2 AND df >= 3 AND df <= floor(n / 2) GROUP BY doc_id ORDER BY count(*) DESC, doc_id LIMIT 1)"
+
+
+def source(index: Index) -> int:
+    df = index.dictionary.select("field", "term", "doc_freq").where("field = 'text' and doc_freq >= 3").crossJoin(F.broadcast(index.field_stats.agg(F.max("total_docs").alias("n")))).where("doc_freq <= floor(n / 2)").select("term")
+    terms = index.postings.where("field = 'text' and tf >= 2").join(df, "term").groupBy("doc_id").count()
+    return terms.orderBy(F.desc("count"), "doc_id").first()[0]
 
 
 def _terms(p: mlt.MltParams) -> str:
     budget = "TRUE" if p.posting_budget == 0 else f"nth = 1 OR cum <= {p.posting_budget if p.posting_budget is not None else 'n'}"
     most = "TRUE" if p.max_doc_freq == 0 else f"df <= {p.max_doc_freq if p.max_doc_freq is not None else 'floor(n / 2)'}"
     top = f"nth <= {p.max_query_terms}" if p.max_query_terms else "TRUE"
-    return f""", rk AS (SELECT field, term, tf, df, n, weight, row_number() OVER (ORDER BY weight DESC, field, term) AS nth FROM (SELECT field, term, tf, df, n, tf * (1e0 + ln(n / (df + 1e0))) AS weight FROM j WHERE doc_id = {_SOURCE} AND field = 'text' AND tf >= {p.min_term_freq} AND df >= {p.min_doc_freq} AND {most}) AS a),
+    return f"""{_SRC}, rk AS (SELECT field, term, tf, df, n, weight, row_number() OVER (ORDER BY weight DESC, field, term) AS nth FROM (SELECT field, term, tf, df, n, tf * (1e0 + ln(n / (df + 1e0))) AS weight FROM j WHERE doc_id = {_SOURCE} AND field = 'text' AND tf >= {p.min_term_freq} AND df >= {p.min_doc_freq} AND {most}) AS a),
 cu AS (SELECT *, sum(df) OVER (ORDER BY nth) AS cum FROM rk WHERE {top}), te AS (SELECT * FROM cu WHERE {budget})"""
 
 
 @query(base() + _terms(_MLT) + " SELECT field, term, CAST(tf AS BIGINT) AS tf, df AS doc_freq, round(weight, 6) AS weight, CAST(nth AS BIGINT) AS nth FROM te")
 def mlt_select_terms(spark, sf_dir):
-    return mlt.select_terms(documents(spark, sf_dir), _SOURCE, _MLT).select("field", "term", "tf", "doc_freq", F.round("weight", 6).alias("weight"), F.col("nth").cast("long").alias("nth"))
+    index = documents(spark, sf_dir)
+    return mlt.select_terms(index, source(index), _MLT).select("field", "term", "tf", "doc_freq", F.round("weight", 6).alias("weight"), F.col("nth").cast("long").alias("nth"))
 
 
 def _mlt(name: str, p: mlt.MltParams, where: str = "TRUE", having: str = "TRUE") -> None:
     def run(spark, sf_dir):
-        return rounded(mlt.more_like_this(documents(spark, sf_dir), _SOURCE, p))
+        index = documents(spark, sf_dir)
+        return rounded(mlt.more_like_this(index, source(index), p))
 
     run.__name__ = name
     h = f", h0 AS (SELECT sct.doc_id, sum(score) AS score, count(*) AS c FROM sct JOIN te ON sct.field = te.field AND sct.term = te.term WHERE sct.doc_id <> {_SOURCE} AND {where} GROUP BY sct.doc_id HAVING {having}), h AS (SELECT doc_id, score, max(score) OVER () AS top FROM h0)"
@@ -382,7 +407,7 @@ def _with(**kw) -> mlt.MltParams:
 
 _mlt("mlt_hits", _MLT)
 _mlt("mlt_all_terms", _with(max_query_terms=0, max_doc_freq=0, posting_budget=0, min_term_freq=3))
-_mlt("mlt_msm", _with(min_should_match=mlt.MinShouldMatch(30, True)), having="count(*) >= (SELECT count(*) FROM te) * 30 // 100")
+_mlt("mlt_msm", _with(posting_budget=0, min_should_match=mlt.MinShouldMatch(30, True)), having="count(*) >= (SELECT count(*) FROM te) * 30 // 100")
 _mlt("mlt_term_filter", _with(term_filters=[("lang_key", "en"), ("text", "the")]), "sct.doc_id IN (SELECT doc_id FROM p WHERE field = 'lang_key' AND term = 'en') AND sct.doc_id IN (SELECT doc_id FROM p WHERE field = 'text' AND term = 'the')")
 _mlt("mlt_range_filter", _with(range_filters=[mlt.Range("n_chars_key", 500, 4000)]), "sct.doc_id IN (SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 4000)")
 
@@ -390,7 +415,7 @@ _mlt("mlt_range_filter", _with(range_filters=[mlt.Range("n_chars_key", 500, 4000
 @query(base() + _terms(_MLT) + f", h0 AS (SELECT sct.doc_id, sum(score) AS score FROM sct JOIN te ON sct.field = te.field AND sct.term = te.term WHERE sct.doc_id <> {_SOURCE} GROUP BY sct.doc_id), h AS (SELECT doc_id, score, max(score) OVER () AS top FROM h0) SELECT h.doc_id AS id, round(score / top, 6) AS score, lang AS lang_key FROM h JOIN documents ON documents.doc_id = h.doc_id")
 def mlt_source_fields(spark, sf_dir):
     index = documents(spark, sf_dir)
-    hits = hydrated(index, mlt.more_like_this(index, _SOURCE, _MLT), None, ["lang_key"])
+    hits = hydrated(index, mlt.more_like_this(index, source(index), _MLT), None, ["lang_key"])
     return hits.select("id", F.round("score", 6).alias("score"), F.col("fields")["lang_key"].alias("lang_key"))
 
 
@@ -456,27 +481,17 @@ def optimize_then_search(spark, sf_dir):
     return by_text(index, search(index, _THE))
 
 
-@query("SELECT lang AS lang_key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'new', count(*) FROM part WHERE p_partkey <= 50")
+@query("SELECT lang AS lang_key, md5(text) AS digest, count(*) AS n FROM documents GROUP BY lang, text UNION ALL SELECT 'new', md5(p_name), count(*) FROM part GROUP BY p_name")
 def upsert(spark, sf_dir):
-    """Parts that replace the documents of the same key, then those again."""
-    return upserted(spark, sf_dir, table(spark, sf_dir, "part").where("p_partkey <= 50"))
-
-
-@query("SELECT lang AS lang_key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'new', count(*) FROM part")
-def upsert_whole(spark, sf_dir):
-    """upsert with all of part."""
-    return upserted(spark, sf_dir, table(spark, sf_dir, "part"))
-
-
-def upserted(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
-    """Documents by language after part was upserted twice."""
+    """All parts as documents, then those again, which replace the first ones of the same key."""
     path = written(spark, sf_dir)
-    new = as_documents(part.select("p_partkey", "p_name", F.concat(F.lit("part"), F.col("p_partkey")).alias("key"), F.lit("new").alias("lang")), "p_partkey", [FieldSpec("text", "p_name"), FieldSpec("id_key", "key", "keyword"), FieldSpec("lang_key", "lang", "keyword")])
+    new = as_documents(table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat(F.lit("part"), F.col("p_partkey")).alias("key"), F.lit("new").alias("lang")), "p_partkey", [FieldSpec("text", "p_name"), FieldSpec("id_key", "key", "keyword"), FieldSpec("lang_key", "lang", "keyword")])
     for _ in range(2):
         with IndexWriter(spark, path, length_mode="exact") as w:
             w.upsert(new, "id_key")
             w.commit()
-    return Store(path).open(spark).docs.groupBy(F.col("stored")["lang_key"].alias("lang_key")).agg(F.count("*").alias("n"))
+    s = F.col("stored")
+    return Store(path).open(spark).docs.groupBy(s["lang_key"].alias("lang_key"), F.md5(s["text"]).alias("digest")).agg(F.count("*").alias("n"))
 
 
 @query(tree(_LICENSED) + " SELECT md5(text) AS digest, round(score / top, 6) AS score FROM h JOIN documents ON documents.doc_id = h.doc_id")
@@ -492,3 +507,77 @@ def stream_ingest(spark, sf_dir):
     return by_text(index, search(index, _LICENSED))
 
 
+@query(base() + "SELECT field, term, df AS doc_freq, row_number() OVER (ORDER BY encode(field), encode(term)) AS nth FROM d")
+def all_terms(spark, sf_dir):
+    """The whole dictionary in its order."""
+    terms = documents(spark, sf_dir).all_terms().select("field", "term", "doc_freq")
+    # one row a term: numbered by ranges of the order, and within them
+    rows = terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").withColumn("part", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("field", "term"))
+    before = rows.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count")).select("part", "before")
+    return rows.withColumn("at", nth).join(F.broadcast(before), "part").select("field", "term", "doc_freq", (F.col("at") + F.col("before")).alias("nth"))
+
+
+@query(base() + _terms(_MLT) + f", h0 AS (SELECT sct.doc_id, sum(score) AS score FROM sct JOIN te ON sct.field = te.field AND sct.term = te.term WHERE sct.doc_id <> {_SOURCE} GROUP BY sct.doc_id), h AS (SELECT doc_id, score, max(score) OVER () AS top FROM h0) SELECT md5(text) AS digest, round(score / top, 6) AS score FROM h JOIN documents ON documents.doc_id = h.doc_id")
+def mlt_json(spark, sf_dir):
+    """More like this by a JSON request, on an index on disk; the source is named by a keyword."""
+    path = work_dir(spark)
+    docs = table(spark, sf_dir, "documents")
+    with IndexWriter(spark, path, length_mode="exact") as w:
+        w.add_table(docs, [*DOCUMENT_SPECS, FieldSpec("id_key", "doc_id", "keyword")])
+        w.commit()
+    request = {"id_field": "id", "id_value": str(source(documents(spark, sf_dir))), "fields": ["text"], "min_doc_freq": 3}
+    hits = SearchEngine(spark, path).more_like_this(json.dumps(request))
+    return hits.select(F.md5(F.col("fields")["text"]).alias("digest"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT source AS source_key, md5(text) AS digest, count(*) AS n FROM documents WHERE source = 'src3' GROUP BY source, text")
+def lookup(spark, sf_dir):
+    """All documents that a keyword names, by the writer's lookup."""
+    path = written(spark, sf_dir)
+    with IndexWriter(spark, path) as w:
+        docs = w.reader().docs_by_id(w.find_doc_ids("source_key", "src3"))
+    s = F.col("stored")
+    return docs.groupBy(s["source_key"].alias("source_key"), F.md5(s["text"]).alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query(tree(_THE) + " SELECT md5(text) AS digest, round(score / top, 6) AS score FROM h JOIN documents ON documents.doc_id = h.doc_id")
+def compaction(spark, sf_dir):
+    """All documents language by language, as one transaction whose segments are merged once there are more than two."""
+    path = work_dir(spark)
+    docs = table(spark, sf_dir, "documents")
+    with IndexWriter(spark, path, max_segments=2, length_mode="exact") as w:
+        for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):
+            w.add_table(docs.where(F.col("lang") == lang), DOCUMENT_SPECS)
+        w.commit()
+    index = Store(path).open(spark)
+    return by_text(index, search(index, _THE))
+
+
+@query("SELECT 'before' AS at, count(*) AS n FROM documents UNION ALL SELECT 'pending', count(*) + (SELECT count(*) FROM part) FROM documents UNION ALL SELECT 'after', count(*) FROM documents UNION ALL SELECT 'generation', 2")
+def rollback(spark, sf_dir):
+    """Documents before, in and after a transaction that is given up, and the generation."""
+    path = written(spark, sf_dir)
+    with IndexWriter(spark, path) as w:
+        counts = [("before", w.document_count())]
+        w.add_table(table(spark, sf_dir, "part"), PART_SPECS)
+        counts.append(("pending", w.document_count()))
+        w.rollback()
+    m = Store(path).current()
+    return spark.createDataFrame([*counts, ("after", m.num_docs), ("generation", m.generation)], "at string, n long")
+
+
+@query(base() + "SELECT field, term, df AS doc_freq FROM d WHERE field <> 'n_chars_key'")
+def json_batches(spark, sf_dir):
+    """Files with lists of JSON documents, one a source, as an index."""
+    path = f"file://{work_dir(spark)}"
+    rows = as_json(table(spark, sf_dir, "documents").select("*", F.col("doc_id").alias("id"))).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    rows.repartition("source").groupBy("source").agg(F.array_join(F.collect_list("json"), ",").alias("j")).select(F.concat(F.lit('{"docs":['), "j", F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    docs = read_json_batch(spark, path).withColumn("doc_id", F.monotonically_increasing_id())
+    return index_documents(docs).dictionary.where("field <> 'n_chars_key'")
+
+
+@query(base() + "SELECT p.doc_id, CAST(len AS BIGINT) AS n FROM p WHERE field = 'text' AND term = 'the'")
+def boosted_lengths(spark, sf_dir):
+    """A document boost changes norms alone: with exact lengths they count as they are."""
+    return documents(spark, sf_dir, doc_boost=2.0).postings.where("field = 'text' and term = 'the'").select("doc_id", F.col("field_len").cast("long").alias("n"))
