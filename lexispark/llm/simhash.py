@@ -3,9 +3,10 @@
 A signature has BITS bits: the majority, over a text's distinct words and distinct word pairs, of each bit of their
 hashes. Rows of equal signature are one node. Candidates are found in tables, each keyed by BAND (for over 2**24 signatures
 more) sampled bits of the signature. The rows of one key are compared bit-sliced: each bit of
-the signatures is a plane with one lane a row (or pair); planes are combined by XOR, added up by carry-save
-counters, and a block of lanes is abandoned once every lane's count exceeds RADIUS. Pairs that could only connect what is
-connected already are left out. Groups are the connected components of the pairs within RADIUS.
+the signatures is a plane with one lane a row; planes are combined by XOR, added up by carry-save
+counters, and a block of lanes is abandoned once every lane's count exceeds RADIUS. The rows of many keys share
+planes and blocks, so that no step is made for one key or pair alone, but in keys of BLOCK_FROM rows or more. Pairs that could only connect what is
+connected already are left out, in keys of more than 64 rows. Groups are the connected components of the pairs within RADIUS.
 
 Search is approximate, with no cap on candidates: a pair at a distance of RADIUS meets in one of the tables with RECALL, whatever the
 key's width, which the number of tables follows; nearer pairs meet with more (d = 24: 0.99), and a group is whole as soon as its pairs connect it.
@@ -20,21 +21,24 @@ are not read, or in deduplicate() passed through untouched.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import compared, free, mix, only, remove, runs, steps, stored, stored_at, sums, words
+from .util import compared, free, mix, only, ragged, remove, runs, steps, stored, stored_at, sums, words
 
 BITS, RADIUS, BAND, RECALL, SEED = 128, 28, 16, 0.93, 20240229
-#: Rows of a key from which they are compared as blocks rather than by offset, and rows and words of 64 lanes of a block.
-BLOCK_FROM, QUERIES = 48, 64
+#: Rows of a key from which they are compared by spanning(), and its rows at a time.
+BLOCK_FROM, QUERIES = 2048, 64
+#: Words of 64 lanes that are compared at a time, and pairs that are held before they are joined.
+WORDS, PAIRS = 1 << 13, 1 << 17
 #: Ids of dropped rows that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 22
 
+_SQUARES = [(j, np.uint64(sum(1 << b for b in range(64) if not b & j))) for j in (32, 16, 8, 4, 2, 1)]
 _SPREAD = np.array([[b >> (7 - i) & 1 for i in range(8)] for b in range(256)], np.uint8).view("<u8").ravel()
 
 
@@ -76,11 +80,16 @@ def runs_of(n: np.ndarray, most: int) -> np.ndarray:
 
 def planes(sig: np.ndarray) -> np.ndarray:
     """(BITS, lanes / 64) words: plane b has bit b of every signature."""
-    bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
-    pad = -len(bits) % 64
-    if pad:
-        bits = np.vstack([bits, np.zeros((pad, bits.shape[1]), np.uint8)])
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
+    n = -(-len(sig) // 64)
+    rows = np.zeros((n * 64, BITS // 64), np.uint64)
+    rows[: len(sig)] = sig
+    x = np.ascontiguousarray(rows.reshape(n, 64, BITS // 64).transpose(2, 1, 0))  # each 64 x 64 bits are turned by swaps of ever smaller squares
+    for j, m in _SQUARES:
+        low, high = x.reshape(BITS // (2 * j), 2, j, n).swapaxes(0, 1)
+        t = ((low >> np.uint64(j)) ^ high) & m
+        high ^= t
+        low ^= t << np.uint64(j)
+    return x.reshape(BITS // 8, 8, n)[:, ::-1].reshape(BITS, n)  # in a byte the upper bit first, as unpackbits has it
 
 
 def within(xor, n_planes: int, radius: int) -> np.ndarray | None:
@@ -132,26 +141,89 @@ def lanes(mask: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(mask).view(np.uint8), axis=-1, bitorder="little")
 
 
-def near_pairs(sig: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of row numbers at most radius apart, both in one of the runs start[i] .. start[i] + size[i], which are short ones."""
-    left, right = [], []
+def placed(size: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first lane of each run, and the number of words: the longest runs first, those of up to 64 rows within one word, longer ones from
+    the start of a word."""
     order = np.argsort(-size, kind="stable")
-    start, count = start[order], size[order]
-    # rows of the longest runs first; at offset k only the runs of over k rows are left, a prefix
-    for k in range(1, int(count[0]) if len(count) else 0):
-        some = count > k
-        n = count[some] - k
-        a = np.repeat(start[some], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        for i in range(0, len(a), 1 << 15):
-            own = a[i : i + (1 << 15)]
-            p = planes(sig[own] ^ sig[own + k])
-            hit = within(lambda b, p=p: p[b], BITS, radius)
+    s = size[order]
+    per, need = np.maximum(64 // s, 1), -(-s // 64)
+    edge = runs(s)
+    group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    i = np.arange(len(s)) - edge[group]
+    ends = np.cumsum(-(-np.diff(edge) // per[edge[:-1]]) * need[edge[:-1]])
+    first = np.empty(len(s), np.int64)
+    first[order] = (np.concatenate([[0], ends])[group] + i // per * need) * 64 + i % per * s
+    return first, int(ends[-1]) if len(ends) else 0
+
+
+def near_blocks(sig: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of row numbers at most radius apart, both in one of the runs start[i] .. start[i] + size[i], some at a time.
+
+    Planes are made once for all runs. Within a word a plane is compared with itself shifted, WORDS of all runs and offsets at a time; of a run of
+    more than a word, every two words are. With root, which who takes the pairs keeps, words whose rows are one component already are left out."""
+    start, size = start[size > 1], size[size > 1]
+    first, n = placed(size)
+    lane = ragged(first, size)
+    row, run = np.full((2, n * 64), -1)
+    row[lane], run[lane] = ragged(start, size), np.repeat(np.arange(len(size)), size)
+    p, used = np.zeros((BITS, n), np.uint64), np.packbits(row >= 0, bitorder="little").view("<u8")
+    for w in range(0, n, 1 << 9):
+        own = row[w * 64 : (w + (1 << 9)) * 64]
+        p[:, w : w + (1 << 9)] = planes(sig[own])
+
+    def pairs(hit: np.ndarray, left: Callable, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the set lanes of hit (k, words): of left(k, word, lane) and of lane `lane` of the word right[word]."""
+        k, w = np.nonzero(hit)
+        some, bit = np.nonzero(lanes(hit[k, w][:, None]))
+        k, w = k[some], w[some]
+        a, b = left(k, w, bit), right[w] * 64 + bit
+        ok = run[a] == run[b]
+        return row[a[ok]], row[b[ok]]
+
+    # within words: a word's runs are as long as its first one or shorter, so at offset k only a prefix of the words is left
+    width = np.zeros(n, np.int64)
+    np.maximum.at(width, lane >> 6, np.repeat(np.minimum(size, 64), size))
+    k = 1
+    while k < 64 and (m := int((width > k).sum())):
+        offsets = np.arange(k, min(64, k + max(1, WORDS // m)))
+        by = offsets[:, None].astype(np.uint64)
+        for w in range(0, m, WORDS):
+            own, have = p[:, w : min(m, w + WORDS)], used[w : min(m, w + WORDS)]
+            hit = within(lambda b, own=own, by=by: own[b] ^ (own[b] << by), BITS, radius)
+            if hit is not None:
+                yield pairs(hit & have & (have << by), lambda k, x, bit, w=w, offsets=offsets: (w + x) * 64 + bit - offsets[k], np.arange(w, w + own.shape[1]))
+        k += len(offsets)
+    # between the words of a run, near ones first
+    words_of = -(-size // 64)
+    words_of, at = words_of[words_of > 1], first[words_of > 1] >> 6
+    if not len(words_of):
+        return
+    u = [ragged(at[words_of > d], words_of[words_of > d] - d) for d in range(1, int(words_of.max()))]
+    v = np.concatenate([x + d for d, x in enumerate(u, 1)])
+    u = np.concatenate(u)
+    up = (63 - np.arange(64, dtype=np.uint64))[:, None]
+    some, last = WORDS // 64, int(v.max()) + 1
+    for i in range(0, len(u), some * 4):
+        x, y = u[i : i + some * 4], v[i : i + some * 4]
+        if root is not None:
+            own = row[: last * 64].reshape(-1, 64)
+            low, high = np.where(own < 0, len(root), root[own]).min(1), np.where(own < 0, -1, root[own]).max(1)
+            open_ = (np.minimum(low[x], low[y]) != np.maximum(high[x], high[y])).nonzero()[0]
+            x, y = x[open_], y[open_]
+        for j in range(0, len(x), some):
+            c, d = x[j : j + some], y[j : j + some]
+            q, o = p[:, c], p[:, d]
+            hit = within(lambda b, q=q, o=o: ((q[b] << up).view(np.int64) >> 63).view(np.uint64) ^ o[b], BITS, radius)
             if hit is not None:
-                at = np.flatnonzero(lanes(hit)[: len(own)])
-                left.append(own[at])
-                right.append(own[at] + k)
+                have = ((used[c] << up).view(np.int64) >> 63).view(np.uint64) & used[d]
+                yield pairs(hit & have, lambda k, w, bit, c=c: c[w] * 64 + k, d)
+
+
+def near_pairs(sig: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of row numbers at most radius apart, the smaller first, both in one of the runs start[i] .. start[i] + size[i]."""
     e = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (e, e)
+    left, right = zip((e, e), *near_blocks(sig, start, size, radius))
+    return np.concatenate(left), np.concatenate(right)
 
 
 def spanning(sig: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -186,9 +258,23 @@ def spanning(sig: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 def links(sig: np.ndarray, edge: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each row the first row of its run edge[i] .. edge[i + 1] that it is connected with by steps of at most radius."""
-    size = np.diff(edge)
+    size, root = np.diff(edge), np.arange(len(sig))
     short = (size > 1) & (size < BLOCK_FROM)
-    root = forest(*near_pairs(sig, edge[:-1][short], size[short], radius), len(sig))
+    left, right, held = [], [], 0
+
+    def join() -> None:
+        nonlocal held
+        root[:] = forest(np.concatenate([np.arange(len(sig)), *left]), np.concatenate([root, *right]), len(sig))
+        left.clear(), right.clear()
+        held = 0
+
+    for i, j in near_blocks(sig, edge[:-1][short], size[short], radius, root):
+        left.append(i)
+        right.append(j)
+        held += len(i)
+        if held > PAIRS:
+            join()
+    join()
     for g in np.flatnonzero(size >= BLOCK_FROM):
         root[edge[g] : edge[g + 1]] = edge[g] + spanning(sig[edge[g] : edge[g + 1]], radius)
     return root

@@ -280,6 +280,32 @@ def test_near_pairs_against_brute_force():
         assert simhash.links(sig[: edge[-1]], np.array(edge)).tolist() == root[: edge[-1]]
 
 
+def test_keys_share_comparisons(monkeypatch):
+    """Keys of any size give their components, and the steps that it takes follow the rows, not the keys and their longest one."""
+    rng = np.random.default_rng(9)
+    calls = []
+    plain = simhash.within
+    monkeypatch.setattr(simhash, "within", lambda *a: calls.append(1) or plain(*a))
+    size = rng.permutation(np.array([*[60] * 100, *[3] * 500, *[1] * 40, 2, 31, 33, 63, 64, 65, 127, 128, 129, 300, 700]))
+    edge = np.concatenate([[0], np.cumsum(size)])
+    bits = rng.integers(0, 2, (len(size), 3, 128), dtype=np.uint8)[np.repeat(np.arange(len(size)), size), rng.integers(0, 3, edge[-1])]
+    bits ^= rng.random(bits.shape) < 0.11  # pairs around RADIUS
+    sig = np.packbits(bits, axis=1).view(np.uint64)
+    want, pairs = np.arange(len(sig)), set()
+    for a, b in zip(edge, edge[1:]):
+        flat = bits[a:b].astype(np.float32) * 2 - 1
+        near = (128 - flat @ flat.T) / 2 <= simhash.RADIUS
+        pairs |= {(a + i, a + j) for i, j in zip(*np.nonzero(np.triu(near, 1)))}
+        root = np.arange(b - a)
+        while not np.array_equal(new := np.array([root[n].min() for n in near]), root):
+            root = new
+        want[a:b] = a + root
+    assert np.array_equal(simhash.links(sig, edge), want) and (want != np.arange(len(sig))).any()
+    assert len(calls) < 100
+    i, j = simhash.near_pairs(sig, edge[:-1], size)
+    assert len(i) == len(pairs) and set(zip(i.tolist(), j.tolist())) == pairs
+
+
 def test_keys_of_many_rows(spark):
     """Rows of one key that are too many for a task meet in blocks."""
     from lexispark.llm import util
