@@ -1,6 +1,7 @@
 """What a step costs must grow no faster than its input, and an order is the same however it is partitioned."""
 
 from lexispark import queries
+from lexispark.sources.index import FIELDS_TYPE, index_documents
 
 SF = "/root/testdata/sf0.01"
 
@@ -14,3 +15,18 @@ def test_all_terms_are_numbered_without_gaps_over_several_ranges(spark):
     assert [r.nth for r in rows] == list(range(1, len(rows) + 1))
     names = [(r.field.encode(), r.term.encode()) for r in rows]
     assert names == sorted(names) and len(set(names)) == len(names)
+
+
+def test_inversion_moves_no_token_between_executors(spark):
+    assert "Exchange" not in queries.QUERIES["inverted_postings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inversion_against_brute_force(spark):
+    fields = [("a", "b a  B c", "text", True), ("k", "b a", "keyword", True), ("e", "", "text", True), ("a", "a c", "text", True), ("k", "x", "keyword", True), ("u", "b", "unindexed", True)]
+    index = index_documents(spark.createDataFrame([(7, fields), (9, [])], f"doc_id long, fields {FIELDS_TYPE}"))
+    want = {("a", "a"): [1, 2], ("a", "b"): [1, 3], ("a", "c"): [2, 4], ("k", "b a"): [0], ("k", "x"): [0]}
+    n = {"a": 2, "k": 1}
+    assert {(r.field, r.term): (r.doc_id, r.tf, r.field_len, r.positions) for r in index.postings.collect()} == {k: (7, len(v), n[k[0]], v) for k, v in want.items()}
+    assert {(r.field, r.term): (r.doc_id, r.tf, r.field_len) for r in index.frequencies.collect()} == {k: (7, len(v), n[k[0]]) for k, v in want.items()}
+    assert {(r.field, r.term): r.doc_freq for r in index.dictionary.collect()} == dict.fromkeys(want, 1)
+    assert {(r.field, r.doc_id): r.field_len for r in index.lengths.collect()} == {("a", 7): 2, ("k", 7): 1}
