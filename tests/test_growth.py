@@ -1,5 +1,7 @@
 """What a step costs must grow no faster than its input, and an order is the same however it is partitioned."""
 
+import re
+
 from lexispark import queries
 from lexispark.sources.index import FIELDS_TYPE, index_documents
 
@@ -30,3 +32,9 @@ def test_inversion_against_brute_force(spark):
     assert {(r.field, r.term): (r.doc_id, r.tf, r.field_len) for r in index.frequencies.collect()} == {k: (7, len(v), n[k[0]]) for k, v in want.items()}
     assert {(r.field, r.term): r.doc_freq for r in index.dictionary.collect()} == dict.fromkeys(want, 1)
     assert {(r.field, r.doc_id): r.field_len for r in index.lengths.collect()} == {("a", 7): 2, ("k", 7): 1}
+
+
+def test_searches_analyse_their_texts_once(spark):
+    """More like this needs frequencies, dictionary and statistics several times: no plan of it goes back to the texts' tokens."""
+    plan = queries.QUERIES["mlt_hits"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"regexp_extract_all", plan)
