@@ -38,3 +38,9 @@ def test_searches_analyse_their_texts_once(spark):
     """More like this needs frequencies, dictionary and statistics several times: no plan of it goes back to the texts' tokens."""
     plan = queries.QUERIES["mlt_hits"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"regexp_extract_all", plan)
+
+
+def test_more_like_this_by_json_analyses_its_texts_once(spark, monkeypatch):
+    """The source document is found in the index on disk, not in a second one made from the table."""
+    monkeypatch.setattr(queries, "build_index", lambda *_, **__: 1 / 0)
+    assert not queries.QUERIES["mlt_json"](spark, SF).isEmpty()
